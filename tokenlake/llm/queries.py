@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op03_decontaminate, op06_compression, op09_token_counts, op10_toxicity
+from . import op01_substring, op03_decontaminate, op06_compression, op08_suffix, op09_token_counts, op10_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_substring.repeated(_table(spark, sf_dir, "documents"))
+
+
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +25,10 @@ def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_compression.measured(_table(spark, sf_dir, "documents"))
 
 
+def suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_suffix.matches(_table(spark, sf_dir, "documents"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -30,15 +38,34 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": substring,
     "op3_decontaminate": decontaminate,
     "op6_compression": compression,
+    "op8_suffix": suffix,
     "op9_token_counts": token_counts,
     "op10_toxicity": toxicity,
 }
 
 _NORMAL = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+
+#: Maximal spans of words in repeated windows of 50.
+_SPANS = """
+WITH docs AS (SELECT doc_id, _WORDS AS w FROM documents),
+wins AS (SELECT doc_id, s, hash(array_to_string(w[s + 1 : s + 50], ' ')) AS h FROM docs, unnest(range(0, len(w) - 49)) AS t(s)),
+marked AS (
+  SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY _ORDER, s) AS k FROM wins),
+rep AS (SELECT doc_id, s, k > 1 AS later FROM marked WHERE n > 1),
+cover AS (SELECT doc_id, p, bool_or(later) AS later FROM rep, unnest(range(s, s + 50)) AS t(p) GROUP BY doc_id, p),
+isles AS (SELECT doc_id, p, later, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS isle FROM cover)
+SELECT doc_id, min(p) AS start_word, count(*) AS n_words, count(*) FILTER (later) AS removable_words
+FROM isles GROUP BY doc_id, isle
+""".replace("_WORDS", _WORDS)
+
 ORACLE: dict[str, str] = {
+    "op1_substring": _SPANS.replace("_ORDER", "doc_id"),
+    "op8_suffix": _SPANS.replace("_ORDER", "doc_id % 8, doc_id"),
     "op3_decontaminate": f"""
 WITH items AS (SELECT DISTINCT item_id, string_split({_NORMAL}, ' ') AS w FROM benchmark WHERE item_id IS NOT NULL AND {_NORMAL} <> ''),
 tests AS (
