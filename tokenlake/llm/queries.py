@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_substring, op03_decontaminate, op06_compression, op08_suffix, op09_token_counts, op10_toxicity
+from . import op01_substring, op03_decontaminate, op05_simhash, op06_compression, op08_suffix, op09_token_counts, op10_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_simhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_compression.measured(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": substring,
     "op3_decontaminate": decontaminate,
+    "op5_simhash": simhash,
     "op6_compression": compression,
     "op8_suffix": suffix,
     "op9_token_counts": token_counts,
