@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_substring, op03_decontaminate, op05_simhash, op06_compression, op08_suffix, op09_token_counts, op10_toxicity
+from . import op01_substring, op03_decontaminate, op04_lines, op05_simhash, op06_compression, op08_suffix, op09_token_counts, op10_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_lines.report(_table(spark, sf_dir, "documents"))
+
+
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_simhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": substring,
     "op3_decontaminate": decontaminate,
+    "op4_lines": lines,
     "op5_simhash": simhash,
     "op6_compression": compression,
     "op8_suffix": suffix,
@@ -83,3 +88,22 @@ grams AS (
 SELECT doc_id, item_id, count(*) AS n_hits FROM grams JOIN tests USING (k, g) GROUP BY doc_id, item_id
 """,
 }
+
+# Lines within one edit agree in their first or last half, which the join uses before it measures the distance.
+ORACLE["op4_lines"] = """
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM docs, unnest(range(1, len(ls) + 1)) AS t(i) WHERE length(ls[i]) >= 20),
+firsts AS (SELECT line, min(row(doc_id, line_no)) AS spot FROM lines GROUP BY line),
+halves AS (
+  SELECT line, spot, m, side, CASE side WHEN 0 THEN left(line, m // 2) ELSE right(line, (m - 1) // 2) END AS half
+  FROM firsts, (SELECT unnest([0, 1]) AS side), unnest([length(line), length(line) + 1]) AS t(m)),
+pairs AS (
+  SELECT DISTINCT a.line, b.line AS other, b.spot FROM halves AS a JOIN halves AS b USING (m, side, half)
+  WHERE b.spot < a.spot AND a.line <> b.line AND abs(length(a.line) - length(b.line)) <= 1),
+near AS (SELECT line, min(spot) AS near FROM pairs WHERE levenshtein(line, other) = 1 GROUP BY line),
+judged AS (
+  SELECT doc_id, line_no, spot, CASE WHEN spot < row(doc_id, line_no) AND (near IS NULL OR spot < near) THEN spot ELSE near END AS dest
+  FROM lines JOIN firsts USING (line) LEFT JOIN near USING (line))
+SELECT doc_id, line_no::INTEGER AS line_no, dest[1] AS first_doc_id, dest[2]::INTEGER AS first_line_no, CASE WHEN dest = spot THEN 0 ELSE 1 END AS distance
+FROM judged WHERE dest < row(doc_id, line_no)
+"""
