@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,19 +189,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_normal_items(benchmark))
 
-    @F.pandas_udf("boolean")
-    def clean(texts: Iterator[object]) -> Iterator[object]:
-        import pandas as pd
-
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matchers, _ = _matchers(shared.value, n)
-        for t in texts:
+        for t in parts:
             buf, offsets = text_buffer(pa.array(t, pa.large_string(), from_pandas=True))
             ok = np.ones(len(t), bool)
             for m in matchers:
                 ok[np.searchsorted(offsets, m.search(buf)[0], side="right") - 1] = False
             yield pd.Series(ok)
 
-    from collections.abc import Iterator as It
-
-    clean.func.__annotations__ = {"texts": It, "return": It}
-    return docs.filter(clean(F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" "))))
+    clean.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.filter(F.pandas_udf(clean, "boolean")(F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" "))))

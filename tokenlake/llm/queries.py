@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_substring, op03_decontaminate, op04_lines, op05_simhash, op06_compression, op08_suffix, op09_token_counts, op10_toxicity
+from . import op01_substring, op02_quality, op03_decontaminate, op04_lines, op05_simhash, op06_compression, op07_packing, op08_suffix, op09_token_counts, op10_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_substring.repeated(_table(spark, sf_dir, "documents"))
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +37,10 @@ def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_compression.measured(_table(spark, sf_dir, "documents"))
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_suffix.matches(_table(spark, sf_dir, "documents"))
 
@@ -47,10 +55,12 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": substring,
+    "op2_quality": quality,
     "op3_decontaminate": decontaminate,
     "op4_lines": lines,
     "op5_simhash": simhash,
     "op6_compression": compression,
+    "op7_packing": packing,
     "op8_suffix": suffix,
     "op9_token_counts": token_counts,
     "op10_toxicity": toxicity,
