@@ -1,15 +1,16 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-Words are hashed into ``2 ** BITS`` embeddings.  Filters of several widths run
-over the words of a text, each followed by a rectifier and by the maximum over
-the whole text, and a logistic layer on those maxima gives the probability.
-Training is stochastic gradient descent (Adam) on a bounded sample of labelled
-rows.  On labelled rows held out of it, a threshold is calibrated for each
-language: the one of the best F1 there, shrunk towards that of all languages
-where a language has few.
-
-For scoring, each filter's weights are multiplied into the embeddings once, so
-that a filter of width w costs w table look-ups per word.
+A word is the sum of hashed embeddings, of the word itself and of its first 4 and
+5 bytes, so that inflected and derived forms share what their stem has learnt.
+Filters of several widths run over the words of a text, each followed by a
+rectifier and by the maximum over the whole text, and a logistic layer on those
+maxima gives the probability.  Training is stochastic gradient descent (Adam) on
+a bounded sample of labelled rows.  On labelled rows held out of it, a threshold
+is calibrated for each language: the one of the best F1 there, shrunk towards
+that of all languages where a language has few.
+
+For scoring, all filters' weights are multiplied into the embeddings once; a word
+then costs one row of that table for each of its three hashes.
 
 Defined results
 * null, empty and wordless texts have score 0 and are not toxic; a text shorter
@@ -31,162 +32,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+from .packed import slices
 from .training import MAX_ROWS, labelled_sample
-from .words import text_buffer, word_hashes
+from .words import WORD_BYTE, mix, text_buffer, word_hashes
 
-BITS = 15
+BITS = 16
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-EPOCHS = 6
+#: Training goes on for about so many batches, within these numbers of passes.
+STEPS, LEAST_EPOCHS, MOST_EPOCHS = 1000, 3, 40
+PREFIXES = (4, 5)
 #: Languages with fewer held-out rows of either class use the common threshold to a larger part.
 PRIOR_ROWS = 20
+#: Words that are scored at once.
+CHUNK = 1 << 16
 SCHEMA = "doc_id long, lang string, score double, threshold double, toxic boolean"
+#: First column of each filter width in the table of all filters.
+_AT = np.r_[0, np.cumsum([w * FILTERS for w in WIDTHS])]
 
 
 @dataclass
 class Model:
-    """Look-up tables of the filters, their biases, the last layer and the thresholds."""
+    """Embeddings times all filters, the filters' biases, the last layer and the thresholds."""
 
-    tables: list[list[np.ndarray]]
-    bias: list[np.ndarray]
+    table: np.ndarray
+    bias: np.ndarray
     out: np.ndarray
     out_bias: float
     common: float = 0.5
     by_lang: dict[str, float] = field(default_factory=dict)
 
     def score(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability of each text, given hashed words (0 is the empty word) and the texts' offsets."""
+        """Probability of each text, given its words' hashed numbers and the texts' offsets."""
         n = len(offsets) - 1
+        top = np.full((n, len(self.bias)), -np.inf, np.float32)
+        for lo in range(0, int(offsets[-1]), CHUNK):
+            stop = min(lo + CHUNK, int(offsets[-1]))
+            hi = min(stop + max(WIDTHS) - 1, int(offsets[-1]))
+            part = self.table[words[lo:hi, 0]]
+            for k in range(1, words.shape[1]):
+                part += self.table[words[lo:hi, k]]
+            act = activations(part, np.clip(offsets, lo, hi) - lo, offsets - lo)[: stop - lo]
+            first, last = np.searchsorted(offsets, lo, "right") - 1, np.searchsorted(offsets, stop, "left")
+            some = first + np.flatnonzero(np.diff(np.clip(offsets[first : last + 1], lo, stop)) > 0)
+            top[some] = np.maximum(top[some], np.maximum.reduceat(act, np.maximum(offsets[some] - lo, 0), axis=0))
+        some = np.diff(offsets) > 0
         logit = np.full(n, self.out_bias)
-        k = 0
-        for table, bias in zip(self.tables, self.bias):
-            width = len(table)
-            full = np.concatenate([words, np.zeros(width, words.dtype)])
-            top = np.zeros((n, len(bias)), np.float32)
-            for lo in range(0, n, 256):
-                hi = min(n, lo + 256)
-                top[lo:hi] = _pooled(full, offsets[lo : hi + 1], table, bias)
-            logit += top @ self.out[k : k + len(bias)]
-            k += len(bias)
-        return np.where(np.diff(offsets) > 0, 1 / (1 + np.exp(-np.clip(logit, -60, 60))), 0.0)
-
-
-def _positions(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the filter in each text, all within the text unless it is shorter than the filter."""
-    count = np.maximum(np.diff(offsets) - width + 1, np.minimum(np.diff(offsets), 1))
-    first = np.r_[0, np.cumsum(count)]
-    return np.repeat(offsets[:-1] - first[:-1], count) + np.arange(first[-1]), first
-
-
-def _pooled(words: np.ndarray, offsets: np.ndarray, table: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """Maximum over each text of the rectified filters."""
-    width, n = len(table), len(offsets) - 1
-    out = np.zeros((n, len(bias)), np.float32)
-    at, first = _positions(offsets, width)
-    if not len(at):
-        return out
-    text = np.repeat(np.arange(n), np.diff(first))
-    short = np.diff(offsets)[text] < width
-    act = table[0][words[at]].copy()
-    for j in range(1, width):
-        w = words[at + j]
-        if short.any():
-            w = np.where(at + j < offsets[1:][text], w, 0)
-        act += table[j][w]
-    some = np.flatnonzero(np.diff(first) > 0)
-    out[some] = np.maximum(np.maximum.reduceat(act, first[some], axis=0) + bias, 0)
+        logit[some] += np.maximum(top[some] + self.bias, 0) @ self.out
+        return np.where(some, 1 / (1 + np.exp(-np.clip(logit, -60, 60))), 0.0)
+
+
+def activations(part: np.ndarray, cut: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """All filters at all positions; minus infinity where a filter would leave a text that is not shorter than it.
+
+    ``part`` has each word's contribution to each filter at each of its places;
+    ``cut`` are the borders of the texts within it, ``offsets`` the true ones.
+    """
+    n = len(part)
+    out = np.empty((n, len(WIDTHS) * FILTERS), np.float32)
+    for i, width in enumerate(WIDTHS):
+        a = out[:, i * FILTERS : (i + 1) * FILTERS]
+        a[:] = part[:, _AT[i] : _AT[i] + FILTERS]
+        for j in range(1, width):
+            a[: n - j] += part[j:, _AT[i] + j * FILTERS : _AT[i] + (j + 1) * FILTERS]
+        size = np.diff(offsets)
+        for back in range(1, width):
+            at = offsets[1:] - back
+            at = at[(size >= width) & (at >= 0) & (at < n)]
+            a[at] = -np.inf
+        for t in np.flatnonzero((size < width) & (cut[1:] > cut[:-1])):
+            lo, hi = offsets[t], offsets[t + 1]
+            a[max(lo, 0) : hi] = -np.inf
+            if lo >= 0:
+                a[lo] = sum(part[lo + j, _AT[i] + j * FILTERS : _AT[i] + (j + 1) * FILTERS] for j in range(hi - lo) if lo + j < n)
     return out
 
 
 def hashed_words(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers from 1 on, and the texts' offsets."""
-    h, _, _, offsets = word_hashes(*text_buffer(texts))
-    return (h % np.uint64((1 << bits) - 1) + np.uint64(1)).astype(np.int32), offsets
-
-
-def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7, bits: int = BITS) -> Model:
+    """Numbers from 1 on of each word and its prefixes, and the texts' offsets."""
+    buf, off = text_buffer(texts)
+    h, start, stop, offsets = word_hashes(buf, off)
+    out = np.empty((len(h), 1 + len(PREFIXES)), np.int32)
+    out[:, 0] = h % np.uint64((1 << bits) - 1) + np.uint64(1)
+    key = np.zeros(len(h), np.uint64)
+    for j in range(max(PREFIXES)):
+        at = np.minimum(start + j, stop - 1)
+        key = key << np.uint64(8) | np.where(start + j < stop, WORD_BYTE[buf[at]], 0).astype(np.uint64)
+        if j + 1 in PREFIXES:
+            out[:, 1 + PREFIXES.index(j + 1)] = mix(key + np.uint64(j + 1)) % np.uint64((1 << bits) - 1) + np.uint64(1)
+    return out, offsets
+
+
+def _hashed(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed_words`` of many texts, in slices."""
+    parts = [hashed_words(pa.array(texts[i : i + 500], pa.large_string()), bits) for i in range(0, len(texts), 500)]
+    return np.concatenate([w for w, _ in parts]), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))]
+
+
+def fit(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int = 7, bits: int = BITS) -> Model:
     """Train on texts and 0/1 labels."""
     y = np.asarray(y, float)
     if not 0 < y.sum() < len(y):
         raise ValueError("training needs labelled documents of both classes")
+    epochs = epochs or int(np.clip(round(STEPS * 32 / len(y)), LEAST_EPOCHS, MOST_EPOCHS))
     rng = np.random.default_rng(seed)
-    words, offsets = hashed_words(pa.array(texts, pa.large_string()), bits)
-    params = [rng.normal(0, 0.1, (1 << bits, DIM)).astype(np.float32)]
-    params += [rng.normal(0, (w * DIM) ** -0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    params += [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    params += [rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), np.zeros(1, np.float32)]
-    params[0][0] = 0
-    nw = len(WIDTHS)
+    words, offsets = _hashed(texts, bits)
+    total = FILTERS * len(WIDTHS)
+    params = [
+        rng.normal(0, 0.02, (1 << bits, DIM)).astype(np.float32),
+        np.concatenate([rng.normal(0, (w * DIM) ** -0.5, (DIM, w * FILTERS)) for w in WIDTHS], 1).astype(np.float32),
+        np.zeros(total, np.float32),
+        rng.normal(0, 0.3, total).astype(np.float32),
+        np.zeros(1, np.float32),
+    ]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, size = 0, 32
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    for epoch in range(epochs):
+    # the columns of each filter at each of its places
+    place = [[slice(_AT[i] + j * FILTERS, _AT[i] + (j + 1) * FILTERS) for j in range(w)] for i, w in enumerate(WIDTHS)]
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), size):
             batch = order[lo : lo + size]
-            spans = [np.arange(offsets[i], offsets[i + 1]) for i in batch]
-            w = words[np.concatenate(spans)] if spans else words[:0]
-            off = np.r_[0, np.cumsum([len(s) for s in spans])]
-            full = np.concatenate([w, np.zeros(max(WIDTHS), w.dtype)])
-            tables = _tables(params, nw)
-            feats, arg = [], []
-            for i, width in enumerate(WIDTHS):
-                at, first = _positions(off, width)
-                a = tables[i][0][full[at]].copy()
-                text = np.repeat(np.arange(len(batch)), np.diff(first))
-                for j in range(1, width):
-                    a += tables[i][j][np.where(at + j < off[1:][text], full[at + j], 0)]
-                f, g = np.zeros((len(batch), FILTERS), np.float32), np.full((len(batch), FILTERS), -1)
-                for b in range(len(batch)):
-                    if first[b + 1] > first[b]:
-                        part = a[first[b] : first[b + 1]]
-                        k = part.argmax(0)
-                        f[b], g[b] = part[k, np.arange(FILTERS)], at[first[b] + k]
-                f = f + params[1 + nw + i]
-                g[f <= 0] = -1
-                feats.append(np.maximum(f, 0))
-                arg.append(g)
-            x = np.concatenate(feats, 1)
-            p = 1 / (1 + np.exp(-np.clip(x @ params[-2] + params[-1][0], -60, 60)))
+            w = words[np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in batch])]
+            off = np.r_[0, np.cumsum(offsets[batch + 1] - offsets[batch])]
+            emb = params[0][w].sum(1)
+            act = activations(emb @ params[1], off, off)
+            top, arg = np.zeros((len(batch), total), np.float32), np.full((len(batch), total), -1)
+            for b in np.flatnonzero(np.diff(off) > 0):
+                k = act[off[b] : off[b + 1]].argmax(0)
+                top[b] = act[off[b] + k, np.arange(total)] + params[2]
+                arg[b] = off[b] + k
+            arg[top <= 0] = -1
+            x = np.maximum(top, 0)
+            p = 1 / (1 + np.exp(-np.clip(x @ params[3] + params[4][0], -60, 60)))
             d = ((p - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            grads = [np.zeros_like(q) for q in params[1:]]
-            grads[-2][:], grads[-1][:] = x.T @ d, d.sum()
-            dx = d[:, None] * params[-2][None, :]
-            rows_e, rows_g = [], []
+            grads = [None, np.zeros_like(params[1]), np.zeros_like(params[2]), x.T @ d, np.array([d.sum()], np.float32)]
+            b, f = np.nonzero(arg >= 0)
+            g = d[b] * params[3][f]
+            np.add.at(grads[2], f, g)
+            demb = np.zeros((len(w), DIM), np.float32)
             for i, width in enumerate(WIDTHS):
-                b, f = np.nonzero(arg[i] >= 0)
-                if not len(b):
-                    continue
-                at = arg[i][b, f]
-                g = dx[b, i * FILTERS + f]
-                np.add.at(grads[nw + i], f, g)
+                on = f // FILTERS == i
                 for j in range(width):
-                    ids = np.where(at + j < off[1:][b], full[at + j], 0)
-                    e = params[0][ids]
-                    np.add.at(grads[i][j].T, f, g[:, None] * e)
-                    rows_e.append(ids)
-                    rows_g.append(g[:, None] * params[1 + i][j][:, f].T)
+                    at = arg[b[on], f[on]] + j
+                    inside = at < off[b[on] + 1]
+                    at, col, gg = at[inside], place[i][j].start + f[on][inside] % FILTERS, g[on][inside]
+                    np.add.at(grads[1].T, col, gg[:, None] * emb[at])
+                    np.add.at(demb, at, gg[:, None] * params[1][:, col].T)
             step += 1
             fix = (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-            if rows_e:
-                ids, inv = np.unique(np.concatenate(rows_e), return_inverse=True)
-                g = np.zeros((len(ids), DIM), np.float32)
-                np.add.at(g, inv, np.concatenate(rows_g))
-                g[ids == 0] = 0
-                m[0][ids] = 0.9 * m[0][ids] + 0.1 * g
-                v[0][ids] = 0.999 * v[0][ids] + 0.001 * g * g
+            used = np.flatnonzero(demb.any(1))
+            if len(used):
+                ids, inv = np.unique(w[used], return_inverse=True)
+                ge = np.zeros((len(ids), DIM), np.float32)
+                np.add.at(ge, inv.ravel(), np.repeat(demb[used], w.shape[1], 0))
+                m[0][ids] = 0.9 * m[0][ids] + 0.1 * ge
+                v[0][ids] = 0.999 * v[0][ids] + 0.001 * ge * ge
                 params[0][ids] -= 0.02 * fix * m[0][ids] / (np.sqrt(v[0][ids]) + 1e-7)
             for k in range(1, len(params)):
-                g = grads[k - 1]
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
+                m[k] = 0.9 * m[k] + 0.1 * grads[k]
+                v[k] = 0.999 * v[k] + 0.001 * grads[k] * grads[k]
                 params[k] -= (0.01 * fix * m[k] / (np.sqrt(v[k]) + 1e-7)).astype(np.float32)
-    return Model(_tables(params, nw), [params[1 + nw + i] for i in range(nw)], params[-2], float(params[-1][0]))
-
-
-def _tables(params: list[np.ndarray], nw: int) -> list[list[np.ndarray]]:
-    return [[params[0] @ params[1 + i][j] for j in range(WIDTHS[i])] for i in range(nw)]
+    seen = np.zeros(1 << bits, bool)
+    seen[words.ravel()] = True
+    params[0][~seen] = 0  # a word that training had no chance to learn about says nothing
+    return Model(params[0] @ params[1], params[2], params[3], float(params[4][0]))
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
@@ -207,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     kept = [r for i, r in enumerate(rows) if i % 4 != 3]
     model = fit([r[2] for r in kept], np.array([r[3] for r in kept]))
     if held:
-        s, y = model.score(*hashed_words(pa.array([r[2] for r in held], pa.large_string()))), np.array([r[3] for r in held])
+        s, y = model.score(*_hashed([r[2] for r in held])), np.array([r[3] for r in held])
         if 0 < y.sum() < len(y):
             model.common = best_threshold(s, y)
             lang = np.array([r[1] for r in held])
@@ -225,12 +238,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2):
             score = m.score(*hashed_words(batch.column(2)))
             limit = np.array([m.by_lang.get(x, m.common) for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(limit, pa.float64()), pa.array((score >= limit) & (score > 0))], ["doc_id", "lang", "score", "threshold", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
