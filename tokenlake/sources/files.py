@@ -19,7 +19,7 @@ def text_lines(spark: SparkSession, path: str, newline_only: bool = True) -> Dat
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)``: one row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def whole_bytes(spark: SparkSession, path: str) -> DataFrame:
