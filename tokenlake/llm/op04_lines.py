@@ -19,9 +19,10 @@ line as 64-bit hashed keys and joins equal ones:
    that differ by a replacement there), the line without character i, untagged,
    and the line itself (equal variants are an insertion or deletion).
 
-The earliest line of each group of equal variants is a neighbour of all others
-there; the edit distance is then verified on the texts, and each line keeps the
-earliest of its neighbours.
+The earliest line of each group of equal tagged variants is a neighbour of all
+others there, and a line that equals shortened ones is a neighbour of theirs; the
+edit distance is then verified on the texts, and each line keeps the earliest of
+its neighbours.
 
 Defined results
 * lines are compared as they are: case and spaces count, a carriage return is
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
@@ -54,7 +55,11 @@ MIN_CHARS = 20
 PIECE = 1 << 21
 #: At most so many line hashes are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST = 4 << 20
-VARIANT = np.dtype([("variant", "<u8"), ("line", "<u8")])
+VARIANT = np.dtype([("variant", "<u8"), ("line", "<u8"), ("kind", "u1")])
+#: Kinds of variants: joined with their like, or a shortened line with the line that it equals.
+LIKE, SHORTENED, WHOLE = 0, 1, 2
+#: Lines that a task remembers, to emit the variants of frequent ones once.
+REMEMBER = 1 << 17
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -96,8 +101,8 @@ def block(n: np.ndarray) -> np.ndarray:
     return np.left_shift(np.int64(1), np.maximum(np.floor(np.log2(np.maximum(n, 4) + 0.5)).astype(np.int64) - 2, 0))
 
 
-def block_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line hash and variant key of each block deletion of the chosen lines."""
+def block_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line hash, variant key and kind of each block deletion of the chosen lines."""
     n = lines.stop[which] - lines.start[which]
     keys, owners = [], []
     t = block(n)
@@ -115,17 +120,19 @@ def block_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndar
             head, tail = lines.part(s, s + a), lines.part(e - b, e)
             keys.append(mix(head * np.uint64(3) + mix(tail ^ _TAG)))
             owners.append(lines.hash[which[r]])
-    return np.concatenate(owners), np.concatenate(keys)
+    key = np.concatenate(keys)
+    return np.concatenate(owners), key, np.full(len(key), LIKE)
 
 
-def char_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line hash and variant key of each character deletion, tagged and untagged, and of the line itself."""
+def char_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line hash, variant key and kind of each character deletion, tagged and untagged, and of the line itself."""
     n = (lines.stop - lines.start)[which]
     row = np.repeat(which, n)
     i = ragged(lines.start[which], n)
     gone = lines.pair(lines.start[row], i, i + 1, lines.stop[row])
     tagged = mix(gone ^ ((i - lines.start[row]).astype(np.uint64) + np.uint64(1)) * _TAG)
-    return np.concatenate([lines.hash[row], lines.hash[row], lines.hash[which]]), np.concatenate([tagged, gone, lines.hash[which]])
+    owner = np.concatenate([lines.hash[row], lines.hash[row], lines.hash[which]])
+    return owner, np.concatenate([tagged, gone, lines.hash[which]]), np.repeat([LIKE, SHORTENED, WHOLE], [len(row), len(row), len(which)])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, str, Lines]]:
@@ -148,6 +155,14 @@ def occurrences(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "line long, doc_id long, key long, line_no int")
 
 
+def _packed(variants: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+    r = np.empty(len(variants[0]), VARIANT)
+    r["line"], r["variant"], r["kind"] = variants
+    out = packed.pack(r, packed.bucket(r["variant"], n), n)
+    if out is not None:
+        yield out
+
+
 def _send(make, n: int, least: int, chosen=None):  # noqa: ANN001, ANN202
     """Map function that packs variants of the distinct lines (those in ``chosen()`` where given) of a task."""
 
@@ -162,35 +177,30 @@ def _send(make, n: int, least: int, chosen=None):  # noqa: ANN001, ANN202
             new = np.fromiter((x not in seen for x in h.tolist()), bool, len(h))
             which = which[new]
             seen.update(h[new].tolist())
-            if len(seen) > 1 << 21:
+            if len(seen) > REMEMBER:
                 seen.clear()
             for lo in range(0, len(which), 1 << 12):
-                owner, key = make(lines, which[lo : lo + (1 << 12)])
-                r = np.empty(len(key), VARIANT)
-                r["variant"], r["line"] = key, owner
-                out = packed.pack(r, packed.bucket(key, n), n)
-                if out is not None:
-                    yield out
+                yield from _packed(make(lines, which[lo : lo + (1 << 12)]), n)
 
     return run
 
 
-def _shared(blocks: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Records of variants that two or more different lines have, sorted; and the heads of their groups."""
+def _shared(blocks: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """Records of variants that two or more different lines have, each once."""
     r = packed.unpack(blocks, VARIANT)
-    order = np.lexsort((r["line"], r["variant"]))
-    r = r[order]
-    if len(r):
-        r = r[np.r_[True, (r["variant"][1:] != r["variant"][:-1]) | (r["line"][1:] != r["line"][:-1])]]
+    if not len(r):
+        return r
+    r = r[np.lexsort((r["line"], r["variant"]))]
+    r = r[np.r_[True, (r["variant"][1:] != r["variant"][:-1]) | (r["line"][1:] != r["line"][:-1])]]
     same = r["variant"][1:] == r["variant"][:-1]
-    return r[np.r_[False, same] | np.r_[same, False]] if len(r) else r, order
+    return r[np.r_[False, same] | np.r_[same, False]]
 
 
 def candidates(rows: DataFrame, least: int) -> DataFrame:
     """``line`` hashes that share a block deletion with a different line."""
 
     def meet(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, _ = _shared(blocks)
+        r = _shared(blocks)
         yield pa.RecordBatch.from_arrays([_signed(np.unique(r["line"]))], ["line"])
 
     n = packed.partitions(rows.sparkSession)
@@ -216,6 +226,23 @@ def _chosen(rows: DataFrame, lines: DataFrame, least: int) -> tuple[DataFrame, o
     return texts.groupBy("line").agg(F.min("text").alias("text")), shared
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether one edit at most leads from a to b; linear in their length."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    differ = np.flatnonzero(x != y[: len(x)])
+    return not len(differ) or (len(a) == len(b) and len(differ) == 1) or (len(a) < len(b) and np.array_equal(x[differ[0] :], y[differ[0] + 1 :]))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(line, at)`` of the pairs whose texts are within one edit."""
+    for batch in batches:
+        ok = [within_one(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3))]
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
 def neighbours(rows: DataFrame, first: DataFrame, least: int) -> DataFrame:
     """``(line, at, distance)``: each distinct line that has an earlier one within one edit, and the earliest such place.
 
@@ -229,22 +256,22 @@ def neighbours(rows: DataFrame, first: DataFrame, least: int) -> DataFrame:
         for batch in packed.slices(batches, 1, PIECE // 4):
             lines = Lines(batch.column(1).to_pylist(), 0)
             for lo in range(0, len(lines.hash), 1 << 9):
-                owner, key = char_variants(lines, np.arange(lo, min(len(lines.hash), lo + (1 << 9))))
-                r = np.empty(len(key), VARIANT)
-                r["variant"], r["line"] = key, owner
-                out = packed.pack(r, packed.bucket(key, n), n)
-                if out is not None:
-                    yield out
+                yield from _packed(char_variants(lines, np.arange(lo, min(len(lines.hash), lo + (1 << 9)))), n)
 
     def meet(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, _ = _shared(blocks)
-        yield pa.RecordBatch.from_arrays([_signed(r["variant"]), _signed(r["line"])], ["variant", "line"])
+        r = _shared(blocks)
+        yield pa.RecordBatch.from_arrays([_signed(r["variant"]), _signed(r["line"]), pa.array(r["kind"].astype(np.int8))], ["variant", "line", "kind"])
+
+    groups = packed.exchange(known.select("line", "text"), emit, meet, "variant long, line long, kind byte", n).join(known.select("line", "at"), "line")
+
+    def lowest(kind: int) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.struct("at", "line"))).over(Window.partitionBy("variant"))
 
-    groups = packed.exchange(known.select("line", "text"), emit, meet, "variant long, line long", n)
-    best = groups.join(known.select("line", "at"), "line").withColumn("low", F.min(F.struct("at", "line")).over(Window.partitionBy("variant"))).filter("low.line <> line")
+    other = F.when(F.col("kind") == LIKE, lowest(LIKE)).when(F.col("kind") == SHORTENED, lowest(WHOLE)).otherwise(lowest(SHORTENED))
+    best = groups.withColumn("low", other).filter("low.line <> line")
     pairs = best.select("line", F.col("low.line").alias("other")).distinct()
     a, b = known.alias("a"), known.alias("b")
-    ok = pairs.join(a.select("line", F.col("text").alias("mine")), "line").join(b.select(F.col("line").alias("other"), F.col("text").alias("theirs"), "at"), "other").filter(F.levenshtein("mine", "theirs", 1) == 1)
+    ok = pairs.join(a.select("line", F.col("text").alias("mine")), "line").join(b.select(F.col("line").alias("other"), F.col("text").alias("theirs"), "at"), "other").select("line", "at", "mine", "theirs").mapInArrow(_verified, "line long, at struct<doc_id:long,key:long,line_no:int>")
     return ok.groupBy("line").agg(F.min("at").alias("at"))
 
 
