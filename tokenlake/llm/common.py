@@ -51,3 +51,20 @@ def text_key(text: Column) -> Column:
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Null-safe equality of the named columns."""
     return reduce(Column.__and__, [left[n].eqNullSafe(right[n]) for n in names])
+
+
+#: Rows of an Arrow batch of whole texts; a batch of them is a few MB.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches made small enough for whole texts, unless they are small already.
+
+    A batch is held by the JVM and by the Python worker at once, so its size, not
+    the partition's, is what an operator needs of memory.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df

@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stable
+from .common import fresh, small_batches, stable
+from .packed import slices
 from .training import MAX_ROWS, labelled_sample
 from .words import text_buffer, word_hashes
 
@@ -50,7 +51,10 @@ EPOCHS = 30
 #: Limits of the strength of a prior, in documents.
 K_MIN, K_MAX = 2.0, 1000.0
 N_STATS = 9
+#: At most so many sites are broadcast (under 200 bytes each); more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 SLICE = 256
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -91,7 +95,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.zeros((n, N_STATS))
     cls = _CLASS[buf]
     for c in range(6):
-        total = np.r_[0, np.cumsum(cls == c)]
+        total = np.r_[0, np.cumsum(cls == c, dtype=np.int32)]
         x[:, c] = (total[off[1:]] - total[off[:-1]]) / size
     words = np.diff(offsets)
     again = np.r_[0, np.cumsum(np.r_[False, h[1:] == h[:-1]])] if len(h) else np.zeros(1)
@@ -107,7 +111,9 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
     y = np.asarray(y, float)
     if not 0 < y.sum() < len(y):
         raise ValueError("training needs labelled documents of both classes")
-    x, ids, offsets = features(pa.array(texts, pa.large_string()))
+    parts = [features(pa.array(texts[i : i + SLICE], pa.large_string())) for i in range(0, len(texts), SLICE)]
+    x, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    offsets = np.r_[0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = (x - mean) / scale
     n = np.diff(offsets)
@@ -153,7 +159,8 @@ def evidence_of(model: Model, docs: DataFrame):  # noqa: ANN201
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for t in parts:
-            out = [m.evidence(pa.array(t.iloc[i : i + SLICE], pa.large_string(), from_pandas=True)) for i in range(0, len(t), SLICE)]
+            rows = pa.RecordBatch.from_arrays([pa.array(t, pa.large_string(), from_pandas=True)], ["t"])
+            out = [m.evidence(b.column(0)) for b in slices(iter([rows]), 0, SLICE_BYTES)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -184,7 +191,7 @@ def posterior(docs: DataFrame, model: Model) -> tuple[DataFrame, dict[str, str]]
     """
     c = {k: fresh(k) for k in ("logit", "host", "path", "p", "host_p", "path_p", "final")}
     host, path = site(F.col("source"))
-    score = evidence_of(model, docs)
+    score = evidence_of(model, small_batches(docs))
     rows = docs.withColumns({c["logit"]: score(F.col("text").cast("string")), c["host"]: host, c["path"]: path}).withColumn(c["p"], 1 / (1 + F.exp(-F.col(c["logit"]))))
     paths = rows.groupBy(F.col(c["host"]).alias("h"), F.col(c["path"]).alias("r")).agg(F.sum(c["p"]).alias("sum"), F.count("*").alias("n"), F.sum(F.col(c["p"]) * F.col(c["p"])).alias("squares"))
     paths = stable(paths)
@@ -195,6 +202,8 @@ def posterior(docs: DataFrame, model: Model) -> tuple[DataFrame, dict[str, str]]
     sums = paths.select("h", "r", "sum", "n").join(hosts.drop("squares").withColumnRenamed("h", "hh"), F.col("h") == F.col("hh")).drop("hh")
     names = {k: fresh(k) for k in ("h", "r", "sum", "n", "h_sum", "h_n")}
     sums = sums.select(*[F.col(k).alias(v) for k, v in names.items()])
+    if paths.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        sums = F.broadcast(sums)  # else every text would be shuffled by its host
     rows = rows.join(sums, (F.col(c["host"]) == F.col(names["h"])) & (F.col(c["path"]) == F.col(names["r"])))
     own = F.col(c["p"])
     host_p = (F.col(names["h_sum"]) - own + k_host * prior) / (F.col(names["h_n"]) - 1 + k_host)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import normalized
+from .common import normalized, small_batches
 from .words import text_buffer
 
 NGRAM = 8
@@ -175,7 +175,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
                 pairs, count = np.unique(np.array([doc, item], np.int64), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0])), pa.array(pairs[1]), pa.array(count.astype(np.int64))], ["doc_id", "item_id", "n_hits"])
 
-    padded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" ")).alias("text"))
+    padded = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" ")).alias("text"))
     return padded.mapInArrow(search, "doc_id long, item_id long, n_hits long")
 
 
@@ -199,4 +199,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
             yield pd.Series(ok)
 
     clean.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.filter(F.pandas_udf(clean, "boolean")(F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" "))))
+    return small_batches(docs).filter(F.pandas_udf(clean, "boolean")(F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" "))))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LEVEL = 3
 CHUNK = 4096
 
@@ -90,4 +92,4 @@ def measured(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK, bands: tup
                 n, ratio, low, high, v = zip(*out)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ratio), pa.array(low), pa.array(high), pa.array(v)], ["doc_id", "n_bytes", "ratio", "min_chunk_ratio", "max_chunk_ratio", "verdict"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 FREQUENT = 1 << 15
@@ -112,7 +114,7 @@ def frequent(docs: DataFrame, pattern: str = PATTERN, top: int = FREQUENT, keep:
         yield _summary(_trim(counts, keep))
 
     schema = "keys array<string>, counts array<long>"
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(summarise, schema)
+    parts = small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(summarise, schema)
     width = docs.rdd.getNumPartitions()
     while width > fan_in:
         width = -(-width // fan_in)

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4 << 20
 #: Stands for a null doc_id inside packed records.
@@ -48,7 +50,7 @@ def identity(docs: DataFrame, *extra: str) -> DataFrame:
     ``key`` is a hash of the text; rows equal in doc_id and text are one document.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), text.alias("text"), *[F.col(c) for c in extra])
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), text.alias("text"), *[F.col(c) for c in extra])
 
 
 def null_back(doc_id: str = "doc_id"):  # noqa: ANN201
