@@ -203,8 +203,8 @@ def test_tokenizer_handle(spark, tmp_path):
     assert t.decode_ids(t.encode_text("güzel ev")) == "güzel ev".encode()
     assert t.encode_text("İ") != t.encode_text("I")
     assert len(t.encode_text("güzel")) < len("güzel".encode())
-    t.save(str(tmp_path / "m.tkmodel"))
-    u = Tokenizer(spark).load(str(tmp_path / "m.tkmodel"))
+    t.save(str(tmp_path / "m.bpe"))
+    u = Tokenizer(spark).load(str(tmp_path / "m.bpe"))
     assert u.config == Config()
     assert u.encode_text("güzel\n\nev") == u.encode_text("güzel ev")
     assert u.stats() == {"vocab_size": u.vocab_size(), "num_merges": u.vocab_size() - 256, "base_tokens": 256, "merged_tokens": u.vocab_size() - 256}

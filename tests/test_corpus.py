@@ -96,7 +96,7 @@ def test_streaming(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsysbinary):
-    text, model, ids = (str(tmp_path / x) for x in ("in.txt", "m.tkmodel", "ids.txt"))
+    text, model, ids = (str(tmp_path / x) for x in ("in.txt", "m.bpe", "ids.txt"))
     (tmp_path / "in.txt").write_text("bir ev bir ev bir ev\n")
     assert cli.main(["train", "-i", text, "-o", model, "-v", "256"]) == 1
     assert cli.main(["train", "-i", text, "-o", model, "-v", "300"]) == 0
