@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tokenlake.functions import binary as B
-from tokenlake.functions.text import Norm
+from tokenlake.functions.text import PRETOKEN, Norm
 from tokenlake.model import Config, Model, ModelError
 from tokenlake.operators import codec, pairs, train
 from tokenlake.tokenizer import Tokenizer
@@ -97,6 +97,17 @@ def test_fresh_models(text, size):
     assert all(r == 256 + k for k, (_, _, r) in enumerate(m.merges))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc é", max_size=80), st.text("abc é1!", max_size=60), st.integers(256, 290))
+def test_compiled_encoder_is_one_pass_by_rank(lesson, text, size):
+    tiktoken = pytest.importorskip("tiktoken")
+    m = learnt(lesson, size)
+    assert m.learnt and m.is_fresh()
+    encoder = tiktoken.Encoding("m", pat_str=PRETOKEN, mergeable_ranks={t: i for i, t in enumerate(m.tokens)}, special_tokens={})
+    want = [i for c in B.split(text.encode()) for i in fold(m, c)]
+    assert encoder.encode_ordinary(text) == want == [i for c in B.split(text.encode()) for i in m.encode_chunk(c)]
+
+
 def fold(model, data):
     ids = list(data)
     for a, b, r in model.merges:
@@ -115,7 +126,7 @@ def fold(model, data):
 def test_rank_order_of_foreign_models():
     tokens = [bytes([i]) for i in range(256)] + [b"ab", b"abd"]
     m = Model(tokens, [(256, 100, 257), (97, 98, 256)])
-    assert m.encode_chunk(b"abd") == [256, 100]
+    assert m.encode_chunk(b"abd") == [256, 100] and not m.is_fresh()
     rnd = random.Random(3)
     for _ in range(200):
         rules = [(rnd.choice([97, 98, 256, 257]), rnd.choice([97, 98, 256, 257]), rnd.choice([256, 257])) for _ in range(6)]

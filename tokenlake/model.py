@@ -43,6 +43,8 @@ class Model:
     tokens: list[bytes] = field(default_factory=lambda: [bytes([i]) for i in range(BASE)])
     merges: list[tuple[int, int, int]] = field(default_factory=list)
     config: Config = field(default_factory=Config)
+    #: Whether the rules come from training; the shape of a model read from a file does not tell.
+    learnt: bool = False
 
     def __post_init__(self) -> None:
         self._ids = {t: i for i, t in enumerate(self.tokens)}
@@ -75,6 +77,11 @@ class Model:
         self.merges.append((left, right, out))
         return out
 
+    def is_fresh(self) -> bool:
+        """Whether the model is as training leaves it: all bytes first, then one new token a rule, in order."""
+        base = self.tokens[:BASE] == [bytes([i]) for i in range(BASE)]
+        return base and len(self.tokens) == BASE + len(self.merges) and all(r == BASE + k and max(a, b) < r and self.tokens[r] == self.tokens[a] + self.tokens[b] for k, (a, b, r) in enumerate(self.merges))
+
     def encode_chunk(self, data: Iterable[int]) -> list[int]:
         """One pass over the rules in order of rank, each applied from left to right.
 
@@ -126,14 +133,14 @@ class Model:
         """As Parquet tables, with the settings."""
         self.vocab_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
         self.merges_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/merges")
-        spark.createDataFrame([(json.dumps(asdict(self.config)),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
+        spark.createDataFrame([(json.dumps(asdict(self.config) | {"learnt": self.learnt}),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
         tokens = [bytes(r["bytes"]) for r in spark.read.parquet(f"{path}/vocab").orderBy("id").collect()]
         merges = [(r["left_id"], r["right_id"], r["result_id"]) for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
         raw = json.loads(spark.read.parquet(f"{path}/config").first()[0])
-        return cls(tokens, merges, Config(raw["vocab_size"], Norm(raw["norm"]), raw["pretokenize"]))
+        return cls(tokens, merges, Config(raw["vocab_size"], Norm(raw["norm"]), raw["pretokenize"]), raw.get("learnt", False))
 
     def to_bytes(self) -> bytes:
         """The binary interchange format, version 1, little endian."""

@@ -43,6 +43,7 @@ def number_of(char: str) -> int:
 
 def learn(words: Iterable[tuple[bytes, int]], target: int, model: Model | None = None) -> Model:
     """Learn rules from distinct chunks and their counts."""
+    fresh = model is None
     model = model or Model()
     seqs, weight = [], []
     count: dict[tuple[int, int], int] = defaultdict(int)
@@ -91,6 +92,7 @@ def learn(words: Iterable[tuple[bytes, int]], target: int, model: Model | None =
             else:
                 del count[p]
                 where.pop(p, None)
+    model.learnt = model.learnt or fresh
     return model
 
 
@@ -117,6 +119,7 @@ def learn_distributed(words: DataFrame, target: int) -> Model:
         step += 1
         if step % CHECKPOINT_EVERY == 0:
             state = state.filter(F.length("s") > 1).checkpoint()
+    model.learnt = True
     return model
 
 
