@@ -35,14 +35,16 @@ Defined results
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stable
-from .packed import NULL_ID, null_back, partitions
+from .common import small_batches, stable
+from .packed import NULL_ID, null_back, partitions, slices
+from .words import text_buffer
 
 WINDOW = 2048
 ALPHA = 0.7
@@ -52,12 +54,32 @@ CHUNKS = 4
 PIECES = "doc_id long, source string, window_id long, doc_start long, n_tokens long"
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words(texts: pa.Array) -> np.ndarray:
+    """Number of runs of other than white space in each text."""
+    buf, off = text_buffer(texts)
+    inside = ~_BLANK[buf]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    head = off[:-1][off[:-1] < off[1:]]
+    start[head] = inside[head]
+    total = np.r_[0, np.cumsum(start, dtype=np.int64)]
+    return total[off[1:]] - total[off[:-1]]
+
+
 def queues(docs: DataFrame) -> DataFrame:
     """``(doc_id, key, source, n_tokens)`` of every document row with tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(words(batch.column(3)))], ["doc_id", "key", "source", "n_tokens"])
+
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    trimmed = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
-    count = F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 1).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), F.col("source").cast("string").alias("source"), count.alias("n_tokens")).filter("n_tokens > 0")
+    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, source string, n_tokens long").filter("n_tokens > 0")
 
 
 def placed(rows: DataFrame) -> DataFrame:
