@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import packed
 from .words import mix, text_buffer, window_hashes, word_hashes
