@@ -1,10 +1,11 @@
 """SimHash near-dedup by anchor-point covering.
 
-A document's fingerprint is the 64-bit SimHash of its words, each weighted by
-the square root of its count.  Two documents are near copies when their
-fingerprints differ in at most ``THRESHOLD`` bits and, as a check against texts
-that merely use the same words, the SimHashes of their word pairs in at most
-``CONFIRM`` bits.
+A document has two fingerprints, 64-bit SimHashes of its words by two hash
+functions, each word weighted by the square root of its count.  Two documents are
+near copies when either fingerprints differ in at most ``THRESHOLD`` bits (two
+chances, as the distance of a given pair of texts varies from one function to the
+other) and, as a check against texts that merely use the same words, the SimHashes
+of their word pairs in at most ``CONFIRM`` bits.
 
 Candidates come from a covering code.  The fingerprint is cut into ``BLOCKS``
 blocks; of two fingerprints within the threshold some block differs in at most
@@ -14,10 +15,10 @@ fingerprint's home is the anchor within that radius; the fingerprint is
 replicated to every anchor within 1 + t, and at each anchor those at home are
 compared with all that came.  By the triangle inequality every pair within the
 threshold meets, so the search misses nothing.  Four blocks of 16 bits cost 4
-homes and at most 36 copies; ``THRESHOLD = 3`` with two blocks has 2**27 anchors
+homes and at most 36 copies a fingerprint; ``THRESHOLD = 3`` with two blocks has 2**27 anchors
 a block, for corpora where the comparisons and not the copies are the cost.
 
-Documents of one fingerprint are one node.  An anchor's near pairs are reduced
+Documents of the same fingerprints are one node.  An anchor's near pairs are reduced
 to one link a node before they leave the task, so a group of thousands costs
 thousands of links, not millions.  Groups are the connected components.
 
@@ -52,6 +53,7 @@ LINKS = "u_doc long, u_key long, v_doc long, v_key long"
 #: Comparisons at once.
 TILE = 1 << 22
 _ROWS = 1 << 15
+_SECOND = np.uint64(0x9FB21C651E98DF25)
 
 
 def _majority(h: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -68,8 +70,8 @@ def _majority(h: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarr
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, word pair fingerprint and number of words of each text."""
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both fingerprints, word pair fingerprint and number of words of each text."""
     words, _, _, offsets = word_hashes(*text_buffer(texts))
     n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(offsets))
@@ -81,13 +83,14 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = order[head]
     back = np.argsort(text[at], kind="stable")
     at, count = at[back], count[back]
-    fp = _majority(words[at], np.round(16 * np.sqrt(count)).astype(np.int64), np.searchsorted(text[at], np.arange(n + 1)))
+    weight, bounds = np.round(16 * np.sqrt(count)).astype(np.int64), np.searchsorted(text[at], np.arange(n + 1))
+    fp, second = (_majority(h, weight, bounds) for h in (words[at], mix(words[at] ^ _SECOND)))
     ph, ps = window_hashes(words, offsets, 2)
     pairs = _majority(ph, np.ones(len(ph), np.int64), np.searchsorted(text[ps], np.arange(n + 1)))
     size = np.diff(offsets)
     one = np.flatnonzero(size == 1)
     pairs[one] = words[offsets[one]]
-    return fp, pairs, size
+    return fp, second, pairs, size
 
 
 class Covering:
@@ -135,8 +138,8 @@ class Covering:
         return (np.concatenate(rows), np.concatenate(anchors)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def replicate(nodes: np.ndarray, threshold: int, blocks: int) -> np.ndarray:
-    """The nodes at their homes and at all anchors in reach, in each block."""
+def replicate(nodes: np.ndarray, threshold: int, blocks: int, table: int = 0) -> np.ndarray:
+    """The nodes at their homes and at all anchors in reach, in each block of fingerprint ``table``."""
     out = []
     width = 64 // blocks
     cover = Covering(width, 1 + threshold // blocks)
@@ -145,7 +148,7 @@ def replicate(nodes: np.ndarray, threshold: int, blocks: int) -> np.ndarray:
         rows, anchors = cover.near(v)
         for home, i, a in ((1, np.arange(len(nodes)), cover.homes(v)), (0, rows, anchors)):
             r = nodes[i].copy()
-            r["home"], r["anchor"] = home, a * np.uint64(blocks) + np.uint64(b)
+            r["home"], r["anchor"] = home, a * np.uint64(2 * blocks) + np.uint64(2 * b + table)
             out.append(r)
     return np.concatenate(out)
 
@@ -206,19 +209,19 @@ def compare(r: np.ndarray, threshold: int, confirm: int) -> tuple[np.ndarray, np
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, fp, pairs)`` of every document row with words, written to the shared folder."""
+    """``(doc_id, key, fp, second, pairs)`` of every document row with words, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in packed.slices(batches, 2):
-            fp, pairs, size = fingerprints(batch.column(2))
+            fp, second, pairs, size = fingerprints(batch.column(2))
             on = pa.array(np.flatnonzero(size > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), pa.array(pairs.view(np.int64))], ["doc_id", "key", "fp", "pairs"]).take(on)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (fp, second, pairs))], ["doc_id", "key", "fp", "second", "pairs"]).take(on)
 
-    return stable(packed.identity(docs).mapInArrow(run, "doc_id long, key long, fp long, pairs long"))
+    return stable(packed.identity(docs).mapInArrow(run, "doc_id long, key long, fp long, second long, pairs long"))
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM) -> DataFrame:
-    """Links ``(u_doc, u_key, v_doc, v_key)`` whose components are those of all near pairs of nodes ``(doc, key, fp, pairs)``."""
+    """Links ``(u_doc, u_key, v_doc, v_key)`` whose components are those of all near pairs of nodes ``(doc, key, fp, second, pairs)``."""
     n = packed.partitions(nodes.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +229,13 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, co
             r = np.zeros(batch.num_rows, NODE)
             for name in ("doc", "key", "fp", "pairs"):
                 r[name] = np.asarray(batch.column(batch.schema.get_field_index(name))).view(NODE[name])
+            second = np.asarray(batch.column(batch.schema.get_field_index("second"))).view(np.uint64)
             for lo in range(0, len(r), 1 << 15):
-                out = replicate(r[lo : lo + (1 << 15)], threshold, blocks)
-                yield packed.pack(out, packed.bucket(mix(out["anchor"]), n), n)
+                part = r[lo : lo + (1 << 15)]
+                for table in range(2):
+                    out = replicate(part, threshold, blocks, table)
+                    yield packed.pack(out, packed.bucket(mix(out["anchor"]), n), n)
+                    part["fp"] = second[lo : lo + (1 << 15)]
 
     def meet(received: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = packed.unpack(received, NODE)
@@ -240,17 +247,17 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, co
         u, v = nodes[on], nodes[top[on]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u["doc"], u["key"], v["doc"], v["key"])], ["u_doc", "u_key", "v_doc", "v_key"])
 
-    return packed.exchange(nodes.select("doc", "key", "fp", "pairs"), send, meet, LINKS, n)
+    return packed.exchange(nodes.select("doc", "key", "fp", "second", "pairs"), send, meet, LINKS, n)
 
 
 def members(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM) -> DataFrame:
     """``(doc_id, key, root)`` of every document row with words; ``root`` is the smallest ``(doc_id, key)`` of its group."""
     rows = prints(docs)
-    first = rows.groupBy("fp", "pairs").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    nodes = first.select("fp", "pairs", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"))
+    first = rows.groupBy("fp", "second", "pairs").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    nodes = first.select("fp", "second", "pairs", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"))
     found = links(nodes, threshold, blocks, confirm).select(F.struct(F.col("u_doc").alias("doc_id"), F.col("u_key").alias("key")).alias("u"), F.struct(F.col("v_doc").alias("doc_id"), F.col("v_key").alias("key")).alias("v"))
     return (
-        rows.join(first, ["fp", "pairs"])
+        rows.join(first, ["fp", "second", "pairs"])
         .join(components(found), F.col("first") == F.col("u"), "left")
         .select("doc_id", "key", F.coalesce("root", "first").alias("root"))
     )
