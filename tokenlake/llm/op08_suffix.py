@@ -59,7 +59,7 @@ class Family:
         head = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
         first = np.flatnonzero(head)
         size = np.diff(np.r_[first, len(keys)])
-        early, late = [places[first[size > 1]]], [places[~head]]
+        early, late = [], [places[~head]]
         uniq, owner = keys[first], places[first]
         fresh = np.ones(len(uniq), bool)
         for old_keys, old_places in self.levels.values():
@@ -70,6 +70,7 @@ class Family:
             early.append(old_places[at[hit]])
             late.append(owner[hit])
             fresh &= ~hit
+        early.append(owner[fresh & (size > 1)])
         self._insert(uniq[fresh], owner[fresh])
         return np.concatenate(early), np.concatenate(late)
 
