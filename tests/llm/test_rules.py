@@ -76,6 +76,7 @@ def test_compression_equals_direct_computation(spark):
     assert verdicts[:6] == ["short", "short", "short", "ok", "ok", "repetitive"]
     assert verdicts[6] == "repetitive" and verdicts[8] == "repetitive"
     assert len(out[4]) == 2
+    assert all(r["keep"] == (r["verdict"] in ("ok", "short")) for rs in out.values() for r in rs)
     assert C.measured(rows.limit(0)).collect() == []
 
 

@@ -48,7 +48,9 @@ BANDS = (
     Band(8_000, 1.5, 5.0, 1.4, 8.0),
     Band(50_000, 1.5, 6.0, 1.4, 8.0),
 )
-SCHEMA = "doc_id long, n_bytes long, ratio double, min_chunk_ratio double, max_chunk_ratio double, verdict string"
+#: Verdicts of documents that stay.
+KEPT = ("ok", "short")
+SCHEMA = "doc_id long, n_bytes long, ratio double, min_chunk_ratio double, max_chunk_ratio double, verdict string, keep boolean"
 
 
 def chunk_bounds(n: int, chunk: int = CHUNK) -> list[tuple[int, int]]:
@@ -73,7 +75,7 @@ def verdict(n: int, ratio: float, low: float, high: float, bands: tuple[Band, ..
 
 
 def measured(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK, bands: tuple[Band, ...] = BANDS) -> DataFrame:
-    """Size, ratios and verdict of every document row; no shuffle."""
+    """Size, ratios, verdict and whether it stays, of every document row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -90,6 +92,6 @@ def measured(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK, bands: tup
                 out.append((n, whole, min(parts), max(parts), verdict(n, whole, min(parts), max(parts), bands)))
             if out:
                 n, ratio, low, high, v = zip(*out)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ratio), pa.array(low), pa.array(high), pa.array(v)], ["doc_id", "n_bytes", "ratio", "min_chunk_ratio", "max_chunk_ratio", "verdict"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ratio), pa.array(low), pa.array(high), pa.array(v), pa.array([x in KEPT for x in v])], ["doc_id", "n_bytes", "ratio", "min_chunk_ratio", "max_chunk_ratio", "verdict", "keep"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
