@@ -81,3 +81,20 @@ def test_many_candidates_take_the_join(spark, monkeypatch):
     rows = [(i, "the same line with number %d here\nunique %s" % (i, "xyz" * i)) for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, L.report(docs).collect())) == brute(rows, L.MIN_CHARS)
+
+
+def test_equal_lines_of_every_length(spark):
+    short, blank = "Read more", " \t\u00a0\r"
+    rows = [(1, f"{short}\n\n{blank}\nx"), (2, f"{short}\n\n{blank}\nRead mora\nx"), (3, f"{' ' * 25}\n{' ' * 25}\nRead mor")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, L.report(docs, every=True).collect())) == [(2, 0, 1, 0, 0), (2, 4, 1, 3, 0), (3, 1, 3, 0, 0)]
+    left = {r["doc_id"]: r["text"] for r in L.deduplicated(docs, every=True).collect()}
+    assert left == {1: rows[0][1], 2: f"\n{blank}\nRead mora", 3: f"{' ' * 25}\nRead mor"}
+
+
+def test_pipeline_drops_short_repeats(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "Share this\nfirst"), (2, "second\nShare this")], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, "")
+    assert sorted(map(tuple, got.collect())) == [(1, "Share this\nfirst"), (2, "second")]

@@ -27,7 +27,9 @@ its neighbours.
 Defined results
 * lines are compared as they are: case and spaces count, a carriage return is
   part of the line.  Lines of fewer than ``MIN_CHARS`` characters are never
-  dropped, as one edit turns them into other words.
+  dropped, as one edit turns them into other words, unless ``every`` is set: then
+  equal lines of every length are, blank ones of fewer characters excepted (of
+  nothing but white space).  Near matches need ``MIN_CHARS`` characters all the same.
 * null and empty texts have no lines to drop and stay as they are.
 * rows equal in doc_id and text are one document; its lines are judged once.
 * a null doc_id comes first and is reported as null.
@@ -51,6 +53,8 @@ from .spans import ragged
 from .words import _R, _RINV, mix, powers
 
 MIN_CHARS = 20
+#: White space: a line of nothing else is blank.
+BLANK = np.array([9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 #: Characters of lines that are hashed at once.
 PIECE = 1 << 21
 #: At most so many line hashes are broadcast (8 bytes each); more are joined by a shuffle.
@@ -66,7 +70,7 @@ _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 class Lines:
     """Lines of some texts as code points in one array, with prefix hashes."""
 
-    def __init__(self, texts: list[str], least: int):
+    def __init__(self, texts: list[str], least: int, every: bool = False):
         self.of = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
         joined = "\n".join(texts)
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -74,7 +78,11 @@ class Lines:
         start, stop = np.r_[0, cut + 1], np.r_[cut, len(code)]
         first = np.r_[True, self.of[1:] != self.of[:-1]] if len(self.of) else np.zeros(0, bool)
         number = np.arange(len(self.of)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(self.of) else self.of
-        on = np.flatnonzero(stop - start >= least)
+        on = stop - start >= least
+        if every:
+            full = np.r_[0, np.cumsum(~np.isin(code, BLANK))]
+            on |= full[stop] > full[start]
+        on = np.flatnonzero(on)
         self.of, self.number, self.start, self.stop = self.of[on], number[on], start[on], stop[on]
         n = len(code)
         self.sum = np.zeros(n + 1, np.uint64)
@@ -135,21 +143,21 @@ def char_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, np.concatenate([tagged, gone, lines.hash[which]]), np.repeat([LIKE, SHORTENED, WHOLE], [len(row), len(row), len(which)])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, str, Lines]]:
+def _pieces(batches: Iterator[pa.RecordBatch], least: int, every: bool = False) -> Iterator[tuple[pa.RecordBatch, str, Lines]]:
     for batch in packed.slices(batches, 2, PIECE):
         texts = batch.column(2).to_pylist()
-        yield batch, "\n".join(texts), Lines(texts, least)
+        yield batch, "\n".join(texts), Lines(texts, least, every)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def occurrences(rows: DataFrame, least: int) -> DataFrame:
-    """``(line, doc_id, key, line_no)`` of every line of ``rows``."""
+def occurrences(rows: DataFrame, least: int, every: bool = False) -> DataFrame:
+    """``(line, doc_id, key, line_no)`` of every line of ``rows`` that is judged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, lines in _pieces(batches, least):
+        for batch, _, lines in _pieces(batches, least, every):
             yield pa.RecordBatch.from_arrays([_signed(lines.hash), pa.array(np.asarray(batch.column(0))[lines.of]), pa.array(np.asarray(batch.column(1))[lines.of]), pa.array(lines.number.astype(np.int32))], ["line", "doc_id", "key", "line_no"])
 
     return rows.mapInArrow(run, "line long, doc_id long, key long, line_no int")
@@ -275,10 +283,10 @@ def neighbours(rows: DataFrame, first: DataFrame, least: int) -> DataFrame:
     return ok.groupBy("line").agg(F.min("at").alias("at"))
 
 
-def dropped(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def dropped(docs: DataFrame, least: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """``(doc_id, key, line_no, at)``: every line to drop, and the place of the line that stands for it."""
     rows = packed.identity(docs)
-    spots = stable(occurrences(rows, least).distinct())
+    spots = stable(occurrences(rows, least, every).distinct())
     first = stable(spots.groupBy("line").agg(F.min(F.struct("doc_id", "key", "line_no")).alias("at")))
     near = neighbours(rows, first, least).withColumnRenamed("at", "near")
     place = F.struct("doc_id", "key", "line_no")
@@ -291,15 +299,15 @@ def dropped(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def report(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, least: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """``(doc_id, line_no, first_doc_id, first_line_no, distance)`` of every line to drop; lines are numbered from 0."""
-    return dropped(docs, least).select(packed.null_back(), "line_no", packed.null_back("at.doc_id").alias("first_doc_id"), F.col("at.line_no").alias("first_line_no"), "distance")
+    return dropped(docs, least, every).select(packed.null_back(), "line_no", packed.null_back("at.doc_id").alias("first_doc_id"), F.col("at.line_no").alias("first_line_no"), "distance")
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """The documents without the lines to drop."""
     a, b, gone, lines = fresh("doc"), fresh("key"), fresh("gone"), fresh("lines")
-    out = dropped(docs, least).groupBy(F.col("doc_id").alias(a), F.col("key").alias(b)).agg(F.collect_set("line_no").alias(gone))
+    out = dropped(docs, least, every).groupBy(F.col("doc_id").alias(a), F.col("key").alias(b)).agg(F.collect_set("line_no").alias(gone))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({a: F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.NULL_ID)), b: F.xxhash64(text, F.lit(1))}).join(out, [a, b], "left")
     kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")

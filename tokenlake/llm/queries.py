@@ -29,6 +29,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_lines.report(_table(spark, sf_dir, "documents"))
 
 
+def lines_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_lines.report(_table(spark, sf_dir, "documents"), every=True)
+
+
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_simhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality,
     "op3_decontaminate": decontaminate,
     "op4_lines": lines,
+    "op4_lines_every": lines_every,
     "op5_simhash": simhash,
     "op6_compression": compression,
     "op7_packing": packing,
@@ -117,3 +122,10 @@ judged AS (
 SELECT doc_id, line_no::INTEGER AS line_no, dest[1] AS first_doc_id, dest[2]::INTEGER AS first_line_no, CASE WHEN dest = spot THEN 0 ELSE 1 END AS distance
 FROM judged WHERE dest < row(doc_id, line_no)
 """
+
+# The same with equal lines of every length that are not blank.
+ORACLE["op4_lines_every"] = (
+    ORACLE["op4_lines"]
+    .replace("WHERE length(ls[i]) >= 20)", r"WHERE length(ls[i]) >= 20 OR regexp_matches(ls[i], '[^\s\x0B\x{85}\p{Z}]'))")
+    .replace("AS t(m))", "AS t(m) WHERE length(line) >= 20)")
+)
