@@ -156,3 +156,20 @@ def test_toxicity_cases(spark, labelled):
     assert X.scored(odd.limit(0), model).collect() == []
     with pytest.raises(ValueError, match="both classes"):
         X.train(docs, labels.limit(0))
+
+
+def test_thresholds_cover_all_labels_outside_the_fit(labelled):
+    docs, labels = labelled
+    model, fitted = X.fit_sample(docs, labels, 200)
+    assert len(fitted) == 150
+    sample = [r[0] for r in X.labelled_sample(docs, labels, "toxic", 200)]
+    rare = docs.withColumn("lang", F.when(F.col("doc_id").isin(sample), F.col("lang")).otherwise("xx"))
+    model = X.train(rare, labels, 200)
+    rows = X.scored(rare, model).drop("toxic").join(labels, "doc_id").filter(~F.col("doc_id").isin(fitted)).toPandas()
+    assert len(rows) == 450 and set(model.by_lang) == {"en", "de", "xx"}
+
+    def f1(limit):
+        hit = rows["score"] >= limit
+        return 2 * (hit & (rows["toxic"] == 1)).sum() / (hit.sum() + rows["toxic"].sum())
+
+    assert f1(model.common) >= max(map(f1, rows["score"])) - 0.01

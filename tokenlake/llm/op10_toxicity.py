@@ -5,9 +5,12 @@ A word is the sum of hashed embeddings, of the word itself and of its first 4 an
 Filters of several widths run over the words of a text, each followed by a
 rectifier and by the maximum over the whole text, and a logistic layer on those
 maxima gives the probability.  Training is stochastic gradient descent (Adam) on
-a bounded sample of labelled rows.  On labelled rows held out of it, a threshold
-is calibrated for each language: the one of the best F1 there, shrunk towards
-that of all languages where a language has few.
+a bounded sample of labelled rows.  On all labelled documents that it was not
+trained on, a threshold is calibrated for each language: the one of the best F1
+there, shrunk towards that of all languages where a language has few.  For that,
+their scores are counted by language and narrow bin of log odds, with the least
+and the greatest score of each bin, so that the driver gets a bounded number of
+bins a language, however many labels there are.
 
 For scoring, all filters' weights are multiplied into the embeddings once; a word
 then costs one row of that table for each of its three hashes.
@@ -28,13 +31,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stable
 from .packed import slices
-from .training import MAX_ROWS, labelled_sample
+from .training import MAX_ROWS, labelled_sample, usable
 from .words import WORD_BYTE, mix, text_buffer, word_hashes
 
 BITS = 16
@@ -46,6 +50,8 @@ STEPS, LEAST_EPOCHS, MOST_EPOCHS = 1000, 3, 40
 PREFIXES = (4, 5)
 #: Languages with fewer held-out rows of either class use the common threshold to a larger part.
 PRIOR_ROWS = 20
+#: Bins of scores for each unit of log odds, up to this size.
+BINS, MOST_LOGIT = 32, 40
 #: Words that are scored at once.
 CHUNK = 1 << 16
 SCHEMA = "doc_id long, lang string, score double, threshold double, toxic boolean"
@@ -202,50 +208,82 @@ def fit(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int =
     return Model(params[0] @ params[1], params[2], params[3], float(params[4][0]))
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the best F1: the middle of the gap below the last score that is taken."""
-    order = np.argsort(-score, kind="stable")
-    s, t = score[order], np.cumsum(y[order])
-    last = np.r_[s[1:] != s[:-1], True]
-    f1 = np.where(last, 2 * t / (np.arange(1, len(s) + 1) + max(1, y.sum())), -1)
+def best_threshold(bins: pd.DataFrame) -> float:
+    """The threshold of the best F1: the middle of the gap below the last bin that is taken.
+
+    ``bins`` has the rows ``n``, the toxic ones ``y`` and the least and greatest score ``low`` and ``high`` of each.
+    """
+    bins = bins.sort_values("low", ascending=False)
+    f1 = 2 * bins["y"].cumsum() / (bins["n"].cumsum() + max(1, bins["y"].sum()))
     k = int(np.argmax(f1))
-    below = s[k + 1] if k + 1 < len(s) else 0.0
-    return float((s[k] + below) / 2)
+    below = bins["high"].iloc[k + 1] if k + 1 < len(bins) else 0.0
+    return float((bins["low"].iloc[k] + below) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on three quarters of the labelled sample and calibrate on the rest."""
-    rows = labelled_sample(docs, labels, "toxic", max_rows)
-    held = [r for i, r in enumerate(rows) if i % 4 == 3]
-    kept = [r for i, r in enumerate(rows) if i % 4 != 3]
-    model = fit([r[2] for r in kept], np.array([r[3] for r in kept]))
-    if held:
-        s, y = model.score(*_hashed([r[2] for r in held])), np.array([r[3] for r in held])
-        if 0 < y.sum() < len(y):
-            model.common = best_threshold(s, y)
-            lang = np.array([r[1] for r in held])
-            for name in sorted(set(lang.tolist())):
-                at = lang == name
-                few = min(y[at].sum(), (1 - y[at]).sum())
-                if few:
-                    model.by_lang[name] = float((few * best_threshold(s[at], y[at]) + PRIOR_ROWS * model.common) / (few + PRIOR_ROWS))
+def fit_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Model, list[int]]:
+    """A model fitted on three quarters of the labelled sample, not calibrated, and their doc_ids."""
+    rows = [r for i, r in enumerate(labelled_sample(docs, labels, "toxic", max_rows)) if i % 4 != 3]
+    return fit([r[2] for r in rows], np.array([r[3] for r in rows])), sorted({r[0] for r in rows})
+
+
+def calibrate(model: Model, scores: DataFrame, labels: DataFrame, fitted: list[int]) -> Model:
+    """Set the thresholds by all labelled documents of ``raw_scores`` whose doc_id is not in ``fitted``."""
+    seen = scores.sparkSession.createDataFrame([(i,) for i in fitted], "doc_id long")
+    held = scores.filter("score is not null").join(usable(labels, "toxic"), "doc_id").join(F.broadcast(seen), "doc_id", "left_anti")
+    counts = held.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.min("score").alias("low"), F.max("score").alias("high")).toPandas()
+    if 0 < counts["y"].sum() < counts["n"].sum():
+        model.common = best_threshold(counts.groupby("bin").agg({"n": "sum", "y": "sum", "low": "min", "high": "max"}))
+        for name, bins in counts.groupby("lang"):
+            few = min(bins["y"].sum(), (bins["n"] - bins["y"]).sum())
+            if few:
+                model.by_lang[name] = float((few * best_threshold(bins) + PRIOR_ROWS * model.common) / (few + PRIOR_ROWS))
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, lang, score, threshold, toxic)`` of every document row; no shuffle."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on a part of the labelled sample and calibrate on all other labelled documents."""
+    model, fitted = fit_sample(docs, labels, max_rows)
+    return calibrate(model, raw_scores(docs, model), labels, fitted)
+
+
+def raw_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, lang, score, bin)`` of every document row, the score null where the text is; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, 2):
             score = m.score(*hashed_words(batch.column(2)))
-            limit = np.array([m.by_lang.get(x, m.common) for x in batch.column(1).to_pylist()])
+            with np.errstate(divide="ignore"):
+                logit = np.log(score) - np.log1p(-score)
+            place = np.floor(np.clip(logit, -MOST_LOGIT, MOST_LOGIT) * BINS).astype(np.int32)
+            null = np.asarray(batch.column(2).is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64(), mask=null), pa.array(place)], ["doc_id", "lang", "score", "bin"])
+
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang string, score double, bin int")
+
+
+def judged(scores: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, lang, score, threshold, toxic)`` of every row of ``raw_scores``; no shuffle."""
+    common, by_lang = model.common, model.by_lang
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.asarray(batch.column(2).fill_null(0.0))
+            limit = np.array([by_lang.get(x, common) for x in batch.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(limit, pa.float64()), pa.array((score >= limit) & (score > 0))], ["doc_id", "lang", "score", "threshold", "toxic"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return scores.mapInArrow(run, SCHEMA)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, lang, score, threshold, toxic)`` of every document row; no shuffle."""
+    return judged(raw_scores(docs, model), model)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Train on ``labels`` and score all of ``docs``."""
-    return scored(docs, train(docs, labels, max_rows))
+    """Train on ``labels`` and score all of ``docs``, once for the thresholds and the result."""
+    model, fitted = fit_sample(docs, labels, max_rows)
+    scores = stable(raw_scores(docs, model))
+    return judged(scores, calibrate(model, scores, labels, fitted))

@@ -11,6 +11,18 @@ MAX_ROWS = 4000
 MAX_CHARS = 50_000
 
 
+def usable(labels: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, y)``: each doc_id once, without missing, contradictory or other labels than 0 and 1."""
+    return (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        .dropna()
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"), F.max("y").alias("top"))
+        .filter("y = top and y in (0, 1)")
+        .select("doc_id", "y")
+    )
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[int, str, str, int]]:
     """``(doc_id, lang, text, label)`` of at most ``max_rows`` labelled documents.
 
@@ -19,16 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     contradictory labels, are left out.  The chosen doc_ids, bounded by
     ``max_rows``, are broadcast; the documents are not shuffled.
     """
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-        .dropna()
-        .groupBy("doc_id")
-        .agg(F.min("y").alias("y"), F.max("y").alias("top"))
-        .filter("y = top and y in (0, 1)")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-        .select("doc_id", "y")
-    )
+    chosen = usable(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.substring(F.col("text").cast("string"), 1, max_chars).alias("text"))
         .filter("text is not null")
