@@ -173,3 +173,20 @@ def test_thresholds_cover_all_labels_outside_the_fit(labelled):
         return 2 * (hit & (rows["toxic"] == 1)).sum() / (hit.sum() + rows["toxic"].sum())
 
     assert f1(model.common) >= max(map(f1, rows["score"])) - 0.01
+
+
+def test_samples_have_whole_texts(spark):
+    long = "plain words " * 5000 + "the end"
+    docs = spark.createDataFrame([(1, long, "en"), (2, "short", "en"), (3, "tiny", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, toxic int")
+    assert X.labelled_sample(docs, labels, "toxic") == [(1, "en", long, 1), (2, "en", "short", 0), (3, "", "tiny", 1)]
+    assert X.labelled_sample(docs, labels, "toxic", max_bytes=100) == [(2, "en", "short", 0), (3, "", "tiny", 1)]
+
+
+def test_training_in_pieces_equals_training_at_once(monkeypatch):
+    rnd = random.Random(3)
+    texts = [prose(rnd, n) + (" grumpf" if n % 2 else "") for n in range(1, 41)]
+    y = np.array([n % 2 for n in range(1, 41)])
+    whole = X.fit(texts, y, epochs=2)
+    monkeypatch.setattr(X, "CHUNK", 7)
+    assert X.fit(texts, y, epochs=2).table == pytest.approx(whole.table, abs=1e-3)

@@ -111,7 +111,8 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
     y = np.asarray(y, float)
     if not 0 < y.sum() < len(y):
         raise ValueError("training needs labelled documents of both classes")
-    parts = [features(pa.array(texts[i : i + SLICE], pa.large_string())) for i in range(0, len(texts), SLICE)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(texts[i : i + SLICE], pa.large_string())], ["t"]) for i in range(0, len(texts), SLICE))
+    parts = [features(b.column(0)) for b in slices(batches, 0, SLICE_BYTES)]
     x, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     offsets = np.r_[0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]
     mean, scale = x.mean(0), x.std(0) + 1e-6

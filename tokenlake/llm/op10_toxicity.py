@@ -116,6 +116,23 @@ def activations(part: np.ndarray, cut: np.ndarray, offsets: np.ndarray) -> np.nd
     return out
 
 
+def strongest(table: np.ndarray, filters: np.ndarray, words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's greatest activation of each filter and its first place, -1 where there is none; ``CHUNK`` words at once."""
+    total, n = len(WIDTHS) * FILTERS, int(off[-1])
+    top, arg = np.full((len(off) - 1, total), -np.inf, np.float32), np.full((len(off) - 1, total), -1)
+    for lo in range(0, n, CHUNK):
+        stop = min(lo + CHUNK, n)
+        hi = min(stop + max(WIDTHS) - 1, n)
+        act = activations(table[words[lo:hi]].sum(1) @ filters, np.clip(off, lo, hi) - lo, off - lo)
+        cut = np.clip(off, lo, stop) - lo
+        for b in np.flatnonzero(np.diff(cut) > 0):
+            k = cut[b] + act[cut[b] : cut[b + 1]].argmax(0)
+            best = act[k, np.arange(total)]
+            more = best > top[b]
+            top[b, more], arg[b, more] = best[more], lo + k[more]
+    return top, arg
+
+
 def hashed_words(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from 1 on of each word and its prefixes, and the texts' offsets."""
     buf, off = text_buffer(texts)
@@ -133,7 +150,8 @@ def hashed_words(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndar
 
 def _hashed(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """``hashed_words`` of many texts, in slices."""
-    parts = [hashed_words(pa.array(texts[i : i + 500], pa.large_string()), bits) for i in range(0, len(texts), 500)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(texts[i : i + 500], pa.large_string())], ["t"]) for i in range(0, len(texts), 500))
+    parts = [hashed_words(b.column(0), bits) for b in slices(batches, 0)]
     return np.concatenate([w for w, _ in parts]), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))]
 
 
@@ -162,15 +180,10 @@ def fit(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int =
         order = rng.permutation(len(y))
         for lo in range(0, len(order), size):
             batch = order[lo : lo + size]
-            w = words[np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in batch])]
+            w = np.concatenate([words[offsets[i] : offsets[i + 1]] for i in batch])
             off = np.r_[0, np.cumsum(offsets[batch + 1] - offsets[batch])]
-            emb = params[0][w].sum(1)
-            act = activations(emb @ params[1], off, off)
-            top, arg = np.zeros((len(batch), total), np.float32), np.full((len(batch), total), -1)
-            for b in np.flatnonzero(np.diff(off) > 0):
-                k = act[off[b] : off[b + 1]].argmax(0)
-                top[b] = act[off[b] + k, np.arange(total)] + params[2]
-                arg[b] = off[b] + k
+            top, arg = strongest(params[0], params[1], w, off)
+            top = np.where(arg >= 0, top + params[2], np.float32(0))
             arg[top <= 0] = -1
             x = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-np.clip(x @ params[3] + params[4][0], -60, 60)))
@@ -179,22 +192,27 @@ def fit(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int =
             b, f = np.nonzero(arg >= 0)
             g = d[b] * params[3][f]
             np.add.at(grads[2], f, g)
-            demb = np.zeros((len(w), DIM), np.float32)
+            places, pulls = [np.zeros(0, np.int64)], [np.zeros((0, DIM), np.float32)]
             for i, width in enumerate(WIDTHS):
                 on = f // FILTERS == i
                 for j in range(width):
                     at = arg[b[on], f[on]] + j
                     inside = at < off[b[on] + 1]
                     at, col, gg = at[inside], place[i][j].start + f[on][inside] % FILTERS, g[on][inside]
-                    np.add.at(grads[1].T, col, gg[:, None] * emb[at])
-                    np.add.at(demb, at, gg[:, None] * params[1][:, col].T)
+                    np.add.at(grads[1].T, col, gg[:, None] * params[0][w[at]].sum(1))
+                    places.append(at)
+                    pulls.append(gg[:, None] * params[1][:, col].T)
+            used, inv = np.unique(np.concatenate(places), return_inverse=True)
+            demb = np.zeros((len(used), DIM), np.float32)
+            np.add.at(demb, inv, np.concatenate(pulls))
+            some = demb.any(1)
+            used, demb = used[some], demb[some]
             step += 1
             fix = (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-            used = np.flatnonzero(demb.any(1))
             if len(used):
                 ids, inv = np.unique(w[used], return_inverse=True)
                 ge = np.zeros((len(ids), DIM), np.float32)
-                np.add.at(ge, inv.ravel(), np.repeat(demb[used], w.shape[1], 0))
+                np.add.at(ge, inv.ravel(), np.repeat(demb, w.shape[1], 0))
                 m[0][ids] = 0.9 * m[0][ids] + 0.1 * ge
                 v[0][ids] = 0.999 * v[0][ids] + 0.001 * ge * ge
                 params[0][ids] -= 0.02 * fix * m[0][ids] / (np.sqrt(v[0][ids]) + 1e-7)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stable
+
 #: At most so many labelled documents train a model.
 MAX_ROWS = 4000
-#: A sampled text longer than this many characters trains by its beginning; scoring always takes whole texts.
-MAX_CHARS = 50_000
+#: At most so many bytes of text train a model; a document whose whole text doesn't fit any more is left out.
+MAX_BYTES = 32 << 20
 
 
 def usable(labels: DataFrame, label: str) -> DataFrame:
@@ -23,19 +25,31 @@ def usable(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[int, str, str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[int, str, str, int]]:
     """``(doc_id, lang, text, label)`` of at most ``max_rows`` labelled documents.
 
     The sample is the rows of smallest hash of doc_id, so it does not depend on
     the partitioning.  Rows without label or text, and doc_ids with
     contradictory labels, are left out.  The chosen doc_ids, bounded by
     ``max_rows``, are broadcast; the documents are not shuffled.
+
+    Texts are whole.  Where they have more than ``max_bytes`` bytes together, a
+    document is left out when it doesn't fit beside those of smaller hash.
     """
     chosen = usable(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.substring(F.col("text").cast("string"), 1, max_chars).alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
         .filter("text is not null")
         .join(F.broadcast(chosen), "doc_id")
-        .collect()
     )
+    rows = stable(rows)
+    sizes = rows.groupBy(F.xxhash64("doc_id").alias("hash"), "doc_id").agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    fit, left = [], max_bytes
+    for r in sorted(sizes):
+        if r["size"] <= left:
+            fit.append(r["doc_id"])
+            left -= r["size"]
+    if len(fit) < len(sizes):
+        rows = rows.filter(F.col("doc_id").isin(fit))
+    rows = rows.collect()
     return sorted((r["doc_id"], r["lang"], r["text"], r["y"]) for r in rows)
