@@ -56,6 +56,14 @@ def test_decontamination_cases(spark):
     assert D.contaminated(docs.limit(0), bench).collect() == [] and D.decontaminate(docs.limit(0), bench).collect() == []
 
 
+def test_items_without_id_are_searched(spark):
+    item = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "own words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, item), (7, item), (None, None)], "item_id long, text string")
+    assert sorted(map(tuple, D.contaminated(docs, bench).collect()), key=str) == [(1, 7, 2), (1, None, 2)]
+    assert [r["doc_id"] for r in D.decontaminate(docs, bench.filter("item_id is null")).collect()] == [2]
+
+
 def test_compression_equals_direct_computation(spark):
     rnd = random.Random(1)
     prose = " ".join("".join(rnd.choices("etaoinshrdlu", k=rnd.randrange(2, 9))) for _ in range(9000))

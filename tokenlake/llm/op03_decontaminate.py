@@ -16,6 +16,8 @@ occurrence is found once.
 Defined results
 * null or empty text, or text without letters and digits: no hit.
 * null or empty benchmark text, or an empty benchmark: no test strings.
+* an item with a null item_id is searched like any other and reported with a null
+  item_id; ``contaminated`` adds up the hits of all such items in a document.
 * repeated documents: each row is searched and reported by itself in ``hits``;
   ``contaminated`` adds up rows of one doc_id.
 * repeated benchmark items are reported under each of their item_ids; rows with
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import normalized, small_batches
+from .packed import NULL_ID
 from .words import text_buffer
 
 NGRAM = 8
@@ -145,7 +148,8 @@ def _matchers(items: list[tuple[int, str]], n: int) -> tuple[list[WuManber], lis
 
 
 def _normal_items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), normalized(F.col("text")).alias("t")).filter("t <> '' and i is not null").distinct().collect()
+    """``(item_id, normalised text)`` of the items that have test strings, ``NULL_ID`` for a null item_id."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("i"), normalized(F.col("text")).alias("t")).filter("t <> ''").distinct().collect()
     return [(r["i"], r["t"]) for r in rows]
 
 
@@ -173,7 +177,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
                         item.append(i)
             if doc:
                 pairs, count = np.unique(np.array([doc, item], np.int64), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0])), pa.array(pairs[1]), pa.array(count.astype(np.int64))], ["doc_id", "item_id", "n_hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0])), pa.array(pairs[1], mask=pairs[1] == NULL_ID), pa.array(count.astype(np.int64))], ["doc_id", "item_id", "n_hits"])
 
     padded = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" ")).alias("text"))
     return padded.mapInArrow(search, "doc_id long, item_id long, n_hits long")
