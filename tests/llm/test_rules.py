@@ -99,12 +99,13 @@ TEXTS = ["Hello world, it's 2024!", "  spaces \n\n\tand tabs  ", "Größe über
 
 def test_token_counts_equal_the_tokenizer(spark):
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], 2)], "doc_id long, text string, n_tokens int").repartition(3)
-    enc = K.encoding()
+    enc = K.encoding(K.read_ranks())
     want = {i: (len(enc.encode_ordinary(t or "")), len((t or "").encode())) for i, t in enumerate(TEXTS)}
     for top in (1 << 15, 3):
         got = K.token_counts(rows, top=top).collect()
         assert len(got) == len(TEXTS) + 1
         assert all((r["n_tokens"], r["n_bytes"]) == want[r["doc_id"]] for r in got)
+        assert all(r["n_pretokens"] == len(K.splitter()(TEXTS[r["doc_id"]] or "")) for r in got)
     assert K.token_counts(rows.limit(0)).collect() == []
 
 
@@ -119,6 +120,24 @@ def test_quick_splitter_agrees():
         assert "".join(find(t)) == t
 
 
+def test_pieces_split_alike():
+    find = K.splitter()
+    rnd = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["a", "bc", "1", " ", " ", "\n", "  ", "'s", ".", "é", "日", "\t", "\u00a0", "\x1c", "x y", "\n\n"]) for _ in range(rnd.randrange(30)))
+        parts = list(K.pieces(t, size=5))
+        assert "".join(parts) == t and [p for x in parts for p in find(x)] == find(t)
+
+
+def test_the_worker_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(K, "CACHE", 3)
+    enc = K.encoding(K.read_ranks())
+    lengths = K.Lengths({" the": 1}, K.read_ranks(), K.PATTERN)
+    for i in range(200):
+        piece = f" w{i % 9}x"
+        assert lengths[piece] == len(enc.encode_ordinary(piece)) and len(lengths) <= 6
+
+
 def test_frequent_keeps_every_heavy_piece(spark):
     texts = [" ".join(f"w{i}x{j}" for j in range(60)) + " heavy" * 20 for i in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)

@@ -1,25 +1,33 @@
-"""Small helpers of the operators: stable copies, row identity, text preparation."""
+"""Small helpers of the operators: stable copies, the shared folder, text preparation."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the session.
+
+    Where none is set, a local session gets a temporary one, which goes when
+    Python ends; on a cluster, whose machines could not share it, this raises.
+    """
+    context = spark.sparkContext
+    folder, current = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="tokenlake-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if not current.isDefined():
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -33,6 +41,13 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
@@ -41,30 +56,3 @@ def fresh(prefix: str) -> str:
 def normalized(text: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one space, no outer space; null is empty."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-
-
-def text_key(text: Column) -> Column:
-    """64-bit hash that, with doc_id, names a document row; rows equal in both are one document."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1))
-
-
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Null-safe equality of the named columns."""
-    return reduce(Column.__and__, [left[n].eqNullSafe(right[n]) for n in names])
-
-
-#: Rows of an Arrow batch of whole texts; a batch of them is a few MB.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches made small enough for whole texts, unless they are small already.
-
-    A batch is held by the JVM and by the Python worker at once, so its size, not
-    the partition's, is what an operator needs of memory.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
-    return df

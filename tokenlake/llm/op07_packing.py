@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stable
+from .common import stable
 from .packed import NULL_ID, null_back, partitions, slices
 from .words import text_buffer
 
@@ -78,7 +78,7 @@ def queues(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(words(batch.column(3)))], ["doc_id", "key", "source", "n_tokens"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), F.col("source").cast("string").alias("source"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, key long, source string, n_tokens long").filter("n_tokens > 0")
 
 

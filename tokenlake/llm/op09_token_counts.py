@@ -2,42 +2,51 @@
 
 Texts are cut into pre-tokens by the tokenizer's pattern.  The first tier is a
 compact hash table of the frequent pre-tokens' token counts, broadcast to all
-tasks; a pre-token outside it is encoded once by each Python worker and kept in
-the worker's cache, the second tier.  No pre-token is ever shuffled: the
-frequent ones are found by Misra-Gries summaries, one of at most ``SUMMARY``
-entries by task, which are merged pairwise by group before the driver adds up
-the last few.  The summaries cover all texts; the choice they lead to decides
+tasks; a pre-token outside it is encoded once by a Python worker and kept in the
+worker's cache, the second tier, which outlives the task.  No pre-token is ever shuffled: the frequent ones are found by Misra-Gries
+summaries, one of at most ``SUMMARY`` entries by task, and only these summaries
+move, to be merged by groups of ``fan_in`` until so few are left that the driver
+adds them up.  The summaries cover all texts; the choice they lead to decides
 the speed only, since both tiers hold the tokenizer's own counts.
 
+The vocabulary file is read by the driver and travels as a broadcast.
+
 Defined results
 * null and empty texts have 0 tokens, 0 pre-tokens and 0 bytes.
 * special tokens' strings in a text are ordinary text.
+* very long texts are counted whole, in pieces cut at single blanks.
 * each row is counted alone: repeated rows get equal counts, extra columns are
-  ignored, an empty table gives an empty one.
-* the worker cache is emptied when it has ``CACHE`` entries, which bounds its
-  memory on texts without repetition.
+  ignored, whatever their names, an empty table gives an empty one.
+* a null doc_id is reported as null.
+* ties: of pre-tokens with equal estimated counts the smaller string comes first
+  into the table, which has no influence on the counts.
+* the worker caches are emptied at ``CACHE`` entries, which bounds their memory
+  on texts without repetition.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 FREQUENT = 1 << 15
 SUMMARY = 1 << 13
 CACHE = 1 << 20
+#: Characters of a text that are worked on at once.
+PIECE = 1 << 22
 SCHEMA = "doc_id long, n_tokens long, n_pretokens long, n_bytes long"
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Of the Python worker: both tiers, by the job that they belong to.
+_WORKER: dict[str, Lengths] = {}
 
 
 def splitter(pattern: str = PATTERN) -> Callable[[str], list[str]]:
@@ -66,15 +75,28 @@ def splitter(pattern: str = PATTERN) -> Callable[[str], list[str]]:
     return find
 
 
-def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):  # noqa: ANN201
-    """The tokenizer of a ``.tiktoken`` vocabulary file."""
+def pieces(text: str, pattern: str = PATTERN, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters; no pre-token of the default pattern goes across a single blank, where they are cut."""
+    at = 0
+    while len(text) - at > size and pattern == PATTERN and (m := _CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def encoding(ranks: dict[bytes, int], pattern: str = PATTERN):  # noqa: ANN201
+    """The tokenizer of these tokens."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def read_ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
+    """Tokens and their numbers of a ``.tiktoken`` vocabulary file."""
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def _trim(counts: Counter, keep: int) -> Counter:
     """The Misra-Gries step: take the count of the (keep + 1)-th entry off all, drop what is left with none."""
     if len(counts) <= keep:
@@ -98,9 +120,9 @@ def frequent(docs: DataFrame, pattern: str = PATTERN, top: int = FREQUENT, keep:
         find = splitter(pattern)
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(find(text))
+            for text in batch.column(0):
+                for part in pieces(text.as_py() or "", pattern):
+                    counts.update(find(part))
                     if len(counts) > 16 * keep:
                         counts = _trim(counts, keep)
         yield _summary(_trim(counts, keep))
@@ -114,50 +136,75 @@ def frequent(docs: DataFrame, pattern: str = PATTERN, top: int = FREQUENT, keep:
         yield _summary(_trim(counts, keep))
 
     schema = "keys array<string>, counts array<long>"
-    parts = small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(summarise, schema)
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(summarise, schema)
     width = docs.rdd.getNumPartitions()
     while width > fan_in:
         width = -(-width // fan_in)
         parts = parts.repartition(width).mapInArrow(merge, schema)
     total: Counter = Counter()
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most fan_in rows of at most keep entries
         total.update(dict(zip(row["keys"], row["counts"])))
         total = _trim(total, 4 * keep)
     return [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:top]]
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, top: int = FREQUENT) -> DataFrame:
-    """``(doc_id, n_tokens, n_pretokens, n_bytes)`` of every document row; ``vocabulary`` must be readable on all machines."""
-    spark = docs.sparkSession
-    enc = encoding(vocabulary, pattern)
+class Lengths(dict):
+    """The first tier, and behind it what this worker has encoded itself: token counts by pre-token."""
+
+    def __init__(self, table: dict[str, int], ranks: dict[bytes, int], pattern: str):
+        super().__init__(table)
+        self.table, self.ranks, self.pattern, self.encoder = table, ranks, pattern, None
+
+    def __missing__(self, piece: str) -> int:
+        if self.encoder is None:
+            self.encoder = encoding(self.ranks, self.pattern)
+        if len(self) > CACHE + len(self.table):
+            self.clear()
+            self.update(self.table)
+        n = self[piece] = len(self.encoder.encode_ordinary(piece))
+        return n
+
+
+def counter(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, top: int = FREQUENT) -> Callable[[], Callable[[str], tuple[int, int]]]:
+    """For tasks: a function that makes one from a text to its numbers of tokens and pre-tokens."""
+    ranks = read_ranks(vocabulary)
+    enc = encoding(ranks, pattern)
     table = {k: len(enc.encode_ordinary(k)) for k in frequent(docs, pattern, top)}
-    shared = spark.sparkContext.broadcast(table)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-
-        class Lengths(dict):
-            """The first tier with the worker's cache behind it."""
-
-            def __missing__(self, piece: str) -> int:
-                nonlocal own
-                if own is None:
-                    own = encoding(vocabulary, pattern)
-                if len(self) > CACHE:
-                    for k in list(islice(iter(self), len(shared.value), None)):
-                        del self[k]
-                n = self[piece] = len(own.encode_ordinary(piece))
-                return n
-
-        lengths = Lengths(shared.value)
-        find, get = splitter(pattern), lengths.__getitem__
+    shared = docs.sparkSession.sparkContext.broadcast((table, ranks))
+    name = uuid.uuid4().hex
+
+    def make() -> Callable[[str], tuple[int, int]]:
+        if name not in _WORKER:
+            _WORKER.clear()
+            _WORKER[name] = Lengths(*shared.value, pattern)
+        get, find = _WORKER[name].__getitem__, splitter(pattern)
+
+        def count(text: str) -> tuple[int, int]:
+            tokens = found = 0
+            for part in pieces(text, pattern):
+                own = find(part)
+                tokens += sum(map(get, own))
+                found += len(own)
+            return tokens, found
+
+        return count
+
+    return make
+
+
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, top: int = FREQUENT) -> DataFrame:
+    """``(doc_id, n_tokens, n_pretokens, n_bytes)`` of every document row; ``vocabulary`` is a file of the driver."""
+    make = counter(docs, vocabulary, pattern, top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = make()
         for batch in batches:
-            tokens, pieces, size = [], [], []
+            tokens, found, size = [], [], []
             for text in batch.column(1):
-                found = find(text.as_py()) if text.is_valid else []
-                tokens.append(sum(map(get, found)))
-                pieces.append(len(found))
+                t, p = count(text.as_py()) if text.is_valid else (0, 0)
+                tokens.append(t)
+                found.append(p)
                 size.append(text.as_buffer().size if text.is_valid else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(pieces, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "n_tokens", "n_pretokens", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "n_tokens", "n_pretokens", "n_bytes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stable
+from .common import stable
 from .packed import slices
 from .training import MAX_ROWS, labelled_sample, usable
 from .words import WORD_BYTE, mix, text_buffer, word_hashes
@@ -278,7 +278,7 @@ def raw_scores(docs: DataFrame, model: Model) -> DataFrame:
             null = np.asarray(batch.column(2).is_null())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64(), mask=null), pa.array(place)], ["doc_id", "lang", "score", "bin"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang string, score double, bin int")
 
 
