@@ -1,206 +1,165 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each source is a queue of documents, in order of a hash of (doc_id, text), and
-each window of ``window`` tokens is filled from the queues in turn.  A source's
-deficit grows by its share of every window and falls by the tokens taken, so
-after each window every source has had its target to within a token, and what a
-window owes a source is carried into the next one.  A document is cut where the
-window's share of its source ends; its rest stays at the head of the queue.
-When a queue runs dry, the round-robin goes on among the others, in proportion
-to their weights, from the next token on.
-
-With whole-number weights the deficits have a closed form: after t tokens of a
-phase (a stretch in which the same queues are active), t a multiple of the
-window, the sources up to s have had floor(t A_s / A), where A_s adds up their
-weights.  Hence each document's place follows from its place in its queue alone.  Places come from prefix sums
-in two levels: sums of hash chunks of each queue, then documents within a
-chunk.  Neither a hot source nor a window boundary between partitions needs a
-sequential pass, and the deficits carry across all of them.
+Each source is a queue of documents, in order of a hash of (doc_id, text).  In
+every round each queue is credited its share of one window's tokens, and serves
+whole documents from its head as long as its deficit pays for them; what is left
+of the deficit is carried into the next round.  A queue that runs dry leaves the
+round-robin, and the others go on in the same proportions.  The documents served,
+in order of (round, source, place in the queue), are one stream, which is cut
+into windows of ``window`` tokens, so every window but the last is full, and a
+document is cut only where a window ends.  After r rounds a source has had its
+share of r windows, but for less than the document at the head of its queue.
+
+A queue's deficits depend on its own documents alone: the document that ends at
+token C of a queue with credit q a round is served in round ceil(C / q).  So the
+rounds come from prefix sums of token numbers by queue, and the places in the
+stream from prefix sums in order of the rounds.  Both sums run over ranges of
+sorted rows, one a partition, of equal size whatever the sources' sizes are; a
+partition's total carries into the next.  Neither a hot source nor a window
+across partitions needs a sequential pass, nothing that grows with the corpus
+comes to the driver, and the cost is the same for one source as for millions.
 
 Weights: by default each source's token total to the power ``alpha`` (as a whole
-number of ``SCALE`` parts), or ``weights`` by source.  A source without weight,
-or of weight 0, follows after all others are dry.
+number of ``SCALE`` parts), or ``weights`` by source.  Sources without weight, or
+of weight 0, follow after all others are dry, in equal shares.
 
-Tokens are words (runs of other than white space).
+Tokens are those of the tokenizer of token counts.
 
 Defined results
-* null, empty and blank texts have no tokens and no place.
-* a null source is a queue of its own.
+* null and empty texts have no tokens and no place.
+* very long texts are tokenized whole, in pieces, and go through as many windows
+  as they need.
+* a null source is a queue of its own, before the others in each round.
 * rows equal in doc_id and text each have a place, one after the other.
+* ties: documents of one source with equal hashes are in order of doc_id, then of
+  the text's hash.
 * a null doc_id is reported as null.
-* extra columns are ignored; an empty table gives an empty one.
+* extra columns are ignored, whatever their names; an empty table gives an empty one.
 * the last window holds what is left and may be short.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stable
-from .packed import NULL_ID, null_back, partitions, slices
-from .words import text_buffer
+from .op09_token_counts import PATTERN, VOCABULARY, tokenizers
+from .packed import NULL_ID, null_back, partitions
 
 WINDOW = 2048
 ALPHA = 0.7
 SCALE = 10_000
-#: Chunks of each queue for each shuffle partition.
-CHUNKS = 4
-PIECES = "doc_id long, source string, window_id long, doc_start long, n_tokens long"
+#: Rows of documents in one range of the prefix sums.
+RANGE_ROWS = 1 << 22
+#: At most so many sources are broadcast (under 100 bytes each); more are joined by a shuffle.
+MAX_BROADCAST = 200_000
+_QUEUE = "doc_id long, key long, source string, n long"
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def words(texts: pa.Array) -> np.ndarray:
-    """Number of runs of other than white space in each text."""
-    buf, off = text_buffer(texts)
-    inside = ~_BLANK[buf]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    head = off[:-1][off[:-1] < off[1:]]
-    start[head] = inside[head]
-    total = np.r_[0, np.cumsum(start, dtype=np.int64)]
-    return total[off[1:]] - total[off[:-1]]
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), F.col("source").cast("string").alias("source"), text.alias("text"))
 
 
-def queues(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, source, n_tokens)`` of every document row with tokens."""
+def queues(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``(doc_id, key, source, n)`` of every document row with tokens, n their number."""
+    make = tokenizers(docs, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3):
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(words(batch.column(3)))], ["doc_id", "key", "source", "n_tokens"])
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), F.col("source").cast("string").alias("source"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, source string, n_tokens long").filter("n_tokens > 0")
-
+        encode = make()
+        for batch in batches:
+            n = [len(encode(t.as_py())) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64())], ["doc_id", "key", "source", "n"])
 
-def placed(rows: DataFrame) -> DataFrame:
-    """The rows with ``at``, the tokens before them in their queue."""
-    chunks = CHUNKS * partitions(rows.sparkSession)
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "key")).withColumn("chunk", F.pmod(F.shiftrightunsigned("h", 32), F.lit(chunks)))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("n_tokens").alias("size"))
-    before = sums.withColumn("base", F.sum("size").over(Window.partitionBy("source").orderBy("chunk")) - F.col("size")).select(F.col("source").alias("s"), F.col("chunk").alias("c"), "base")
-    inner = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    return local.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select("doc_id", "source", "n_tokens", (F.col("base") + F.col("inside")).alias("at"))
+    return _rows(docs).mapInArrow(run, _QUEUE).filter("n > 0")
 
 
-class Plan:
-    """The round-robin by phases: in each the same queues are active, in rounds of one window's tokens.
+def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` in order, with the sum of ``value`` up to and with each row as ``name``.
 
-    A round gives each active queue its share, laid one after the other.  Where a
-    queue's share of a window is less than a token, rounds are as long as it
-    takes for one.
+    The rows are cut into ranges by ``order``, written, and summed range by range;
+    the driver gets one total a range.
     """
-
-    def __init__(self, totals: dict[str | None, int], weights: dict[str | None, int], window: int):
-        left = {s: totals[s] for s in sorted(totals, key=lambda s: (s is not None, s or "")) if totals[s] > 0}
-        taken = dict.fromkeys(left, 0)
-        #: of each source: (tokens of it before, first output token, weights below, weight, sum of weights, round) by phase
-        self.phases: dict[str | None, list[tuple[int, int, int, int, int, int]]] = {s: [] for s in left}
-        at = 0
-        while left:
-            live = {s: weights.get(s, 0) for s in left}
-            if not any(live.values()):
-                live = dict.fromkeys(live, 1)
-            total = sum(live.values())
-            length = window * max(1, -(-total // (min(w for w in live.values() if w) * window)))
-            low, parts = 0, []
-            for s, w in live.items():
-                if w:
-                    parts.append((s, (taken[s], at, low, w, total, length)))
-                low += w
-            end = min(self._position(p, taken[s] + left[s] - 1) for s, p in parts) + 1
-            for s, p in parts:
-                self.phases[s].append(p)
-                n = self._served(p, end) - taken[s]
-                taken[s] += n
-                left[s] -= n
-            left = {s: n for s, n in left.items() if n}
-            at = end
-
-    @staticmethod
-    def _after(p: tuple, r: int) -> int:
-        """Tokens of the source in the first r rounds of a phase: its target, with what is owed carried along."""
-        _, _, a, w, total, length = p
-        return (r * length * (a + w)) // total - (r * length * a) // total
-
-    @staticmethod
-    def _offset(p: tuple, r: int) -> int:
-        """Tokens of round r that go to the sources below."""
-        _, _, a, _, total, length = p
-        return ((r + 1) * length * a) // total - (r * length * a) // total
-
-    @classmethod
-    def _position(cls, p: tuple, k: int) -> int:
-        k -= p[0]
-        r = max(0, k * p[4] // (p[3] * p[5]) - 2)
-        while cls._after(p, r + 1) <= k:
-            r += 1
-        return p[1] + r * p[5] + cls._offset(p, r) + k - cls._after(p, r)
-
-    @classmethod
-    def _served(cls, p: tuple, t: int) -> int:
-        r, rest = divmod(max(0, t - p[1]), p[5])
-        n = cls._after(p, r)
-        return p[0] + n + min(max(rest - cls._offset(p, r), 0), cls._after(p, r + 1) - n)
-
-    def position(self, source: str | None, k: int) -> int:
-        """Output position of token k of a source's queue."""
-        phases = self.phases[source]
-        return self._position(phases[bisect_right(phases, k, key=lambda x: x[0]) - 1], k)
-
-    def served(self, source: str | None, t: int) -> int:
-        """Tokens of a source among the first t of the output."""
-        phases = self.phases[source]
-        i = max(bisect_right(phases, t, key=lambda x: x[1]) - 1, 0)
-        n = self._served(phases[i], t)
-        return min(n, phases[i + 1][0]) if i + 1 < len(phases) else n
-
-
-def default_weights(totals: dict[str | None, int], alpha: float = ALPHA) -> dict[str | None, int]:
-    """Whole-number weights in proportion to each total to the power ``alpha``."""
-    power = {s: float(n) ** alpha for s, n in totals.items()}
-    most = max(power.values(), default=1.0)
-    return {s: max(1, round(SCALE * x / most)) for s, x in power.items()}
-
-
-def packed(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, int] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """``(window_id, source, doc_id, doc_start, n_tokens)``: the pieces of documents that fill each window.
-
-    The totals by source, one small row each, are brought to the driver for the
-    plan of phases, which is broadcast; both grow with the number of sources only.
+    n = max(partitions(rows.sparkSession), -(-rows.count() // RANGE_ROWS))
+    ranged = stable(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    sums = dict(map(tuple, ranged.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.sum(value)).collect()))
+    before = np.r_[0, np.cumsum([sums.get(p, 0) for p in range(n)])]
+    names = ranged.columns
+    at = names.index(value)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = before[TaskContext.get().partitionId()]
+        for batch in batches:
+            if batch.num_rows:
+                sums = total + np.cumsum(np.asarray(batch.column(at)), dtype=np.int64)
+                total = sums[-1]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], [*names, name])
+
+    return ranged.mapInArrow(add, StructType([*ranged.schema.fields, StructField(name, LongType())]))
+
+
+def shares(queued: DataFrame, weights: dict[str | None, int] | None, alpha: float) -> tuple[DataFrame, dict[int, int]]:
+    """``(of, base, tier, weight)`` of each source, base the tokens before it in ``through``, and the sum of weights by tier."""
+    s = stable(queued.groupBy("source").agg(F.min(F.col("through") - F.col("n")).alias("base"), F.sum("n").alias("total")))
+    if weights is None:
+        most = s.agg(F.max("total")).first()[0] or 1
+        s = s.withColumn("weight", F.greatest(F.lit(1), F.round(SCALE * F.pow(F.col("total") / F.lit(float(most)), F.lit(alpha))).cast("long")))
+    else:
+        given = s.sparkSession.createDataFrame([(k, int(w)) for k, w in weights.items()], "name string, weight long")
+        s = s.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left")
+    s = s.withColumn("tier", F.when(F.col("weight") > 0, 0).otherwise(1)).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1))
+    sums = {r["tier"]: int(r["w"]) for r in s.groupBy("tier").agg(F.sum("weight").alias("w")).collect()}
+    return s.select(F.col("source").alias("of"), "base", "tier", "weight"), sums
+
+
+def placed(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, int] | None = None, alpha: float = ALPHA, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``(doc_id, key, source, n, at)``: each document row with the tokens before it in the stream."""
+    rows = stable(queues(docs, vocabulary, pattern))
+    queued = running(rows.withColumn("h", F.xxhash64("doc_id", "key")), [F.col(c) for c in ("source", "h", "doc_id", "key")], "n", "through")
+    s, sums = shares(queued, weights, alpha)
+    if s.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        s = F.broadcast(s)
+    total = F.when(F.col("tier") == 0, F.lit(sums.get(0, 1))).otherwise(F.lit(sums.get(1, 1))).cast("decimal(17,0)")
+    credit = (F.lit(window) * F.col("weight")).cast("decimal(18,0)")
+    served = queued.join(s, F.col("source").eqNullSafe(F.col("of"))).withColumn("c", (F.col("through") - F.col("base")).cast("decimal(19,0)")).withColumn("t", total).withColumn("q", credit)
+    served = served.select("doc_id", "key", "source", "n", "tier", F.expr("(c * t + q - 1) div q").alias("round"), F.col("c").cast("long").alias("c"))
+    stream = running(served, [F.col(c) for c in ("tier", "round", "source", "c")], "n", "upto")
+    return stream.select("doc_id", "key", "source", "n", (F.col("upto") - F.col("n")).alias("at"))
+
+
+def _cut(stream: DataFrame, window: int) -> DataFrame:
+    """Each document's pieces by window."""
+    w = stream.withColumn("window_id", F.explode(F.expr(f"sequence(at div {window}, (at + n - 1) div {window})")))
+    start = F.greatest(F.lit(0), F.col("window_id") * window - F.col("at"))
+    return w.withColumn("doc_start", start).withColumn("n_tokens", F.least(F.col("n"), (F.col("window_id") + 1) * window - F.col("at")) - F.col("doc_start"))
+
+
+def packed(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, int] | None = None, alpha: float = ALPHA, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``(window_id, source, doc_id, doc_start, n_tokens)``: the pieces of documents that fill each window."""
+    return _cut(placed(docs, window, weights, alpha, vocabulary, pattern), window).select("window_id", "source", null_back(), "doc_start", "n_tokens")
+
+
+def filled(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, int] | None = None, alpha: float = ALPHA, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``(window_id, ids)``: the token ids of each window.
+
+    Pieces meet their documents by (doc_id, hash of text) and each other by window;
+    neither group is larger than a document or a window.
     """
-    rows = stable(queues(docs))
-    totals = {r["source"]: int(r["n"]) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).toLocalIterator()}
-    plan = Plan(totals, default_weights(totals, alpha) if weights is None else weights, window)
-    shared = docs.sparkSession.sparkContext.broadcast(plan)
+    make = tokenizers(docs, vocabulary, pattern)
 
-    def cut(batches):  # noqa: ANN001, ANN202
-        p = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = make()
         for batch in batches:
-            doc, src, win, start, size = [], [], [], [], []
-            for d, s, n, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                k = at
-                while k < at + n:
-                    w = p.position(s, k) // window
-                    stop = min(at + n, p.served(s, (w + 1) * window))
-                    doc.append(d)
-                    src.append(s)
-                    win.append(w)
-                    start.append(k - at)
-                    size.append(stop - k)
-                    k = stop
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(src, pa.string()), *(pa.array(np.array(x, np.int64)) for x in (win, start, size))], ["doc_id", "source", "window_id", "doc_start", "n_tokens"])
-
-    pieces = placed(rows).mapInArrow(cut, PIECES)
-    return pieces.select("window_id", "source", null_back(), "doc_start", "n_tokens")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([encode(t.as_py()) for t in batch.column(3)], pa.list_(pa.int32()))], ["d", "k", "all_ids"])
+
+    ids = _rows(docs).dropDuplicates(["doc_id", "key"]).mapInArrow(run, "d long, k long, all_ids array<int>")
+    pieces = _cut(placed(docs, window, weights, alpha, vocabulary, pattern), window)
+    own = pieces.join(ids, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))).select("window_id", "at", F.expr("slice(all_ids, cast(doc_start + 1 as int), cast(n_tokens as int))").alias("ids"))
+    return own.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).select("window_id", F.flatten(F.col("parts.ids")).alias("ids"))

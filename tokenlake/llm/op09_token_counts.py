@@ -47,6 +47,8 @@ SCHEMA = "doc_id long, n_tokens long, n_pretokens long, n_bytes long"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Of the Python worker: both tiers, by the job that they belong to.
 _WORKER: dict[str, Lengths] = {}
+#: Of the Python worker: the tokenizer, by the job that it belongs to.
+_TOKENIZERS: dict[str, object] = {}
 
 
 def splitter(pattern: str = PATTERN) -> Callable[[str], list[str]]:
@@ -97,6 +99,20 @@ def read_ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def tokenizers(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Callable[[], Callable[[str], list[int]]]:
+    """For tasks: a function that makes one from a text to its token ids; the tokenizer outlives the task."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary)), uuid.uuid4().hex
+
+    def make() -> Callable[[str], list[int]]:
+        if name not in _TOKENIZERS:
+            _TOKENIZERS.clear()
+            _TOKENIZERS[name] = encoding(shared.value, pattern)
+        encode = _TOKENIZERS[name].encode_ordinary
+        return lambda text: encode(text) if len(text) <= PIECE else [i for part in pieces(text, pattern) for i in encode(part)]
+
+    return make
+
+
 def _trim(counts: Counter, keep: int) -> Counter:
     """The Misra-Gries step: take the count of the (keep + 1)-th entry off all, drop what is left with none."""
     if len(counts) <= keep:
