@@ -103,23 +103,78 @@ def test_sketch_never_underestimates(spark):
     assert op01_substring.row_bits(0) == 16 and op01_substring.row_bits(10**15) == 29
 
 
-def test_family_levels():
-    family = op08_suffix.Family()
-    rnd = np.random.default_rng(1)
-    seen = {}
-    place = 0
-    for _ in range(13):
-        keys = rnd.integers(0, 200, 30).astype(np.uint64)
-        places = np.arange(place, place + 30)
-        early, late = family.add(keys, places)
-        want_early, want_late = set(), set()
-        for k, p in zip(keys.tolist(), places.tolist()):
-            if k in seen:
-                want_early.add(seen[k])
-                want_late.add(p)
-            else:
-                seen[k] = p
-        assert (set(early.tolist()), set(late.tolist())) == (want_early, want_late)
-        place += 30
-    assert sorted(family.levels) == [0, 2, 3]
-    assert all((np.diff(k.astype(np.int64)) > 0).all() for k, _ in family.levels.values())
+def family_spans(frames):
+    """Maximal spans of the window spans of several batches."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return sorted(map(tuple, spans.report(out).collect()), key=repr)
+
+
+def test_family_meets_an_index_of_an_earlier_run(spark, tmp_path):
+    rows = corpus(7)
+    path = f"{tmp_path}/index"
+    order = {}
+    found = []
+    for b in range(5):
+        part = [r for r in rows if r[0] % 5 == b]
+        order.update({r: b for r in part})
+        # each call opens the index anew, as another program would
+        family = op08_suffix.Family(spark, path, 3, WIDTH, GRAM)
+        found.append(family.add(spark.createDataFrame(part, "doc_id long, text string")))
+        assert family.step == b + 1 and len(family.levels) <= 3
+        sizes = [n.bit_length() for n, _ in family.levels]
+        assert sizes == sorted(set(sizes), reverse=True)
+        want = brute([r for r in rows if r[0] % 5 <= b], WIDTH, lambda r: (r[0] % 5, r[0]))
+        assert family_spans(found) == want
+    again = op08_suffix.Family(spark, path)
+    assert (again.shards, again.width, again.gram, again.step) == (3, WIDTH, GRAM, 5)
+    # an empty batch changes nothing; a batch of copies finds all and adds no entries
+    before = list(again.levels)
+    assert again.add(spark.createDataFrame([], "doc_id long, text string")).collect() == [] and again.levels == before
+    copies = again.add(spark.createDataFrame([(100 + i, t) for i, t in rows if len(words(t)) >= WIDTH], "doc_id long, text string"))
+    assert all(n == len(words(dict(rows)[d - 100])) == r for d, s, n, r in family_spans([copies]) if d >= 100)
+    assert again.levels == before
+
+
+def test_entries_are_in_suffix_order(spark, tmp_path):
+    rows = corpus(3)
+    family = op08_suffix.Family(spark, f"{tmp_path}/index", 2, WIDTH, GRAM)
+    for b in range(4):
+        family.add(spark.createDataFrame([r for r in rows if r[0] % 4 == b], "doc_id long, text string"))
+    paths = [p for _, p in family.levels]
+    n = 0
+    for path in paths:
+        for shard in range(2):
+            e = op08_suffix.read_shard([path], shard)
+            keys = [(int(r["anchor"]), e.words(i)[r["byte"] :]) for i, r in enumerate(e.rows)]
+            assert keys == sorted(keys)
+            for i, r in enumerate(e.rows):
+                w = e.words(i).decode().split(" ")
+                text = words(dict(rows)[int(r["doc"])])
+                assert w[-1] == "" and w[:-1] == text[r["start"] : r["start"] + r["n"] + WIDTH - 1]
+            n += len(e.rows)
+    assert n == sum(size for size, _ in family.levels)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pairs_and_sorted_windows_agree(seed):
+    """Two entries by common words left and right, and by suffix order, against all windows."""
+    import pyarrow as pa
+
+    rnd = random.Random(seed)
+    vocab = ["a", "b", "ab", "ba", "aa"]
+    for _ in range(200):
+        shared = [rnd.choice(vocab) for _ in range(rnd.randrange(4, 14))]
+        texts = [" ".join([rnd.choice(vocab) for _ in range(rnd.randrange(5))] + shared + [rnd.choice(vocab) for _ in range(rnd.randrange(5))]) for _ in range(2)]
+        e = op08_suffix.entries(pa.array(texts), np.arange(2), np.zeros(2, np.int64), 0, WIDTH, GRAM)
+        for i in range(len(e.rows)):
+            for j in range(i):
+                if e.rows["anchor"][i] == e.rows["anchor"][j]:
+                    w = [e.words(x).decode().split(" ")[:-1] for x in (i, j)]
+                    want = {(a, b) for a in range(e.rows["n"][i]) for b in range(e.rows["n"][j]) if w[0][a : a + WIDTH] == w[1][b : b + WIDTH] and e.rows["at"][i] - a == e.rows["at"][j] - b}
+                    found = op08_suffix.pair(e, i, j, WIDTH)
+                    got = {(int(e.rows["at"][i]) - d, int(e.rows["at"][j]) - d) for d in range(found[1], found[0] + 1)} if found else set()
+                    assert got == want
+                    for g in op08_suffix.equal_windows(e, [i, j], WIDTH):
+                        assert len({" ".join(e.words(x).decode().split(" ")[k : k + WIDTH]) for x, k in g}) == 1

@@ -29,14 +29,13 @@ SPANS = "doc_id long, key long, start long, stop long, later boolean"
 RESULT = "doc_id long, key long, start_word long, n_words long, removable_words long"
 
 
-def runs(texts: pa.Array, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts' windows: anchor hash, text number, first window and number of windows of each run; the windows' hashes in order."""
-    words, _, _, offsets = word_hashes(*text_buffer(texts))
+def anchored(words: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the texts' words: anchor hash, text, first window, number of windows and anchor's word of each run; the windows' hashes in order."""
     n = len(words)
     full, start = window_hashes(words, offsets, width)
     z = np.zeros(0, np.int64)
     if not len(start):
-        return np.zeros(0, np.uint64), z, z, z, full
+        return np.zeros(0, np.uint64), z, z, z, z, full
     g = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     gh, gs = window_hashes(words, offsets, gram)
     g[gs] = gh
@@ -54,7 +53,14 @@ def runs(texts: pa.Array, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndar
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(start)])
     text = np.searchsorted(offsets, start[first], side="right") - 1
-    return anchor[first], text, start[first] - offsets[text], count, full
+    return anchor[first], text, start[first] - offsets[text], count, anchor_at[first].astype(np.int64), full
+
+
+def runs(texts: pa.Array, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' windows: anchor hash, text number, first window and number of windows of each run; the windows' hashes in order."""
+    words, _, _, offsets = word_hashes(*text_buffer(texts))
+    anchor, text, start, count, _, full = anchored(words, offsets, width, gram)
+    return anchor, text, start, count, full
 
 
 def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
