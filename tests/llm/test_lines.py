@@ -1,6 +1,7 @@
 """Line dedup against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -20,10 +21,10 @@ def within_one(a, b):
 
 
 def brute(rows, least):
-    spots = sorted({(d, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n")) if len(line) >= least}, key=lambda x: x[:2])
+    spots = sorted({(d, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n")) if len(line) >= least or line.strip()}, key=lambda x: x[:2])
     out = []
     for k, (d, i, line) in enumerate(spots):
-        at = next((s for s in spots[:k] if s[2] == line or within_one(s[2], line)), None)
+        at = next((s for s in spots[:k] if s[2] == line or (min(len(s[2]), len(line)) >= least and within_one(s[2], line))), None)
         if at:
             out.append((d, i, at[0], at[1], int(at[2] != line)))
     return sorted(out)
@@ -59,13 +60,14 @@ def test_defined_cases(spark):
     rows = [(1, line + "\nshort\n" + line, 5, "x"), (2, None, None, "y"), (2, "", 0, None), (None, line.replace("more", "mora"), 1, "n"), (3, line + "\n" + line[:-1] + "\nown words that nobody else has", 9, "z"), (3, line + "\n" + line[:-1] + "\nown words that nobody else has", 9, "z"), (4, "short\nshort", 11, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, line_no string")
     got = sorted(map(tuple, L.report(docs).collect()))
-    assert got == [(1, 0, None, 0, 1), (1, 2, None, 0, 1), (3, 0, None, 0, 1), (3, 1, 1, 0, 1)]
+    assert got == [(1, 0, None, 0, 1), (1, 2, None, 0, 1), (3, 0, None, 0, 1), (3, 1, 1, 0, 1), (4, 0, 1, 1, 0), (4, 1, 1, 1, 0)]
     out = L.deduplicated(docs)
     assert out.columns == docs.columns
     assert out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
     kept = sorted(map(tuple, out.collect()), key=repr)
     own = "own words that nobody else has"
-    assert kept == sorted([(1, "short", 5, "x"), (2, None, None, "y"), (2, "", 0, None), (None, rows[3][1], 1, "n"), (3, own, len(own), "z"), (3, own, len(own), "z"), (4, "short\nshort", 11, "s")], key=repr)
+    assert kept == sorted([(1, "short", 5, "x"), (2, None, None, "y"), (2, "", 0, None), (None, rows[3][1], 1, "n"), (3, own, len(own), "z"), (3, own, len(own), "z"), (4, "", 0, "s")], key=repr)
+    assert sorted(r["doc_id"] or 0 for r in L.deduplicated(docs, emptied=False).collect()) == [0, 1, 2, 2, 3, 3]
     assert L.report(docs.limit(0)).collect() == [] and L.deduplicated(docs.limit(0)).collect() == []
 
 
@@ -87,8 +89,8 @@ def test_equal_lines_of_every_length(spark):
     short, blank = "Read more", " \t\u00a0\r"
     rows = [(1, f"{short}\n\n{blank}\nx"), (2, f"{short}\n\n{blank}\nRead mora\nx"), (3, f"{' ' * 25}\n{' ' * 25}\nRead mor")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, L.report(docs, every=True).collect())) == [(2, 0, 1, 0, 0), (2, 4, 1, 3, 0), (3, 1, 3, 0, 0)]
-    left = {r["doc_id"]: r["text"] for r in L.deduplicated(docs, every=True).collect()}
+    assert sorted(map(tuple, L.report(docs).collect())) == [(2, 0, 1, 0, 0), (2, 4, 1, 3, 0), (3, 1, 3, 0, 0)]
+    left = {r["doc_id"]: r["text"] for r in L.deduplicated(docs).collect()}
     assert left == {1: rows[0][1], 2: f"\n{blank}\nRead mora", 3: f"{' ' * 25}\nRead mor"}
 
 
@@ -98,3 +100,28 @@ def test_pipeline_drops_short_repeats(spark):
     docs = spark.createDataFrame([(1, "Share this\nfirst"), (2, "second\nShare this")], "doc_id long, text string")
     got = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, "")
     assert sorted(map(tuple, got.collect())) == [(1, "Share this\nfirst"), (2, "second")]
+
+
+def test_lines_with_equal_polynomial_hashes_stay(spark):
+    """Thue-Morse strings and their complements collide modulo 2**64, whatever the base."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert len(set(L.Lines([a, b], 0).hash.tolist())) == 1
+    docs = spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")
+    assert [tuple(r) for r in L.report(docs).collect()] == [(3, 0, 2, 0, 0)]
+    assert sorted(map(tuple, L.deduplicated(docs).collect())) == [(1, a), (2, b), (3, "")]
+
+
+def test_many_dropped_lines_are_linear(spark):
+    docs = spark.createDataFrame([(1, "the same line over and over again\n" * 80_000)], "doc_id long, text string")
+    t = time.time()
+    assert [r["text"] for r in L.deduplicated(docs).collect()] == ["the same line over and over again\n"]
+    assert time.time() - t < 40
+
+
+def test_smallest_doc_id_is_not_null(spark):
+    docs = spark.createDataFrame([(-(1 << 63), "x y"), (None, "x y"), (5, "x y")], "doc_id long, text string")
+    got = sorted(map(tuple, L.report(docs).collect()), key=str)
+    assert got == sorted([(None, 0, -(1 << 63), 0, 0), (5, 0, -(1 << 63), 0, 0)], key=str)

@@ -87,18 +87,16 @@ def test_quality_cases(spark, labelled):
     t = docs.first()["text"]
     rows = [(1, None, None, 1), (1, "", "a.b", 2), (None, t, "a.b/c/d", 3), (None, t, "a.b/c/d", 3), (2, t * 500, "x", 4)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, source string, score int")
-    train = docs.select("doc_id", "text", "lang")
+    train = docs.select("doc_id", "text")
     model = Q.train(train, labels)
     out, c = Q.posterior(odd, model)
     assert out.count() == 5
     assert out.filter("text = '' or text is null").select(c["logit"]).distinct().first()[0] == pytest.approx(model.prior)
     assert out.filter("source is null").first()[c["host"]] == ""
     assert Q.posterior(odd.limit(0), model)[0].collect() == []
-    with pytest.raises(ValueError, match="both classes"):
-        Q.train(docs, labels.limit(0))
+    assert Q.train(docs, labels.limit(0)) == Q.UNTRAINED
     twice = labels.union(labels.withColumn("quality", 1 - F.col("quality")))
-    with pytest.raises(ValueError, match="both classes"):
-        Q.train(docs, twice)
+    assert Q.train(docs, twice) == Q.UNTRAINED
 
 
 def test_large_site_tables_take_the_join(labelled, monkeypatch):
@@ -154,8 +152,6 @@ def test_toxicity_cases(spark, labelled):
     assert {r["threshold"] for r in got if r["lang"] == "xx" or r["lang"] is None} == {model.common}
     assert by[None]["toxic"] and by[3]["toxic"]
     assert X.scored(odd.limit(0), model).collect() == []
-    with pytest.raises(ValueError, match="both classes"):
-        X.train(docs, labels.limit(0))
 
 
 def test_thresholds_cover_all_labels_outside_the_fit(labelled):
@@ -176,11 +172,46 @@ def test_thresholds_cover_all_labels_outside_the_fit(labelled):
 
 
 def test_samples_have_whole_texts(spark):
-    long = "plain words " * 5000 + "the end"
-    docs = spark.createDataFrame([(1, long, "en"), (2, "short", "en"), (3, "tiny", None)], "doc_id long, text string, lang string")
+    long = "plain words " * 20_000 + "the end"
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, "tiny")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, toxic int")
-    assert X.labelled_sample(docs, labels, "toxic") == [(1, "en", long, 1), (2, "en", "short", 0), (3, "", "tiny", 1)]
-    assert X.labelled_sample(docs, labels, "toxic", max_bytes=100) == [(2, "en", "short", 0), (3, "", "tiny", 1)]
+    assert X.labelled_sample(docs, labels, "toxic") == [(1, long, 1), (2, "short", 0), (3, "tiny", 1)]
+    assert X.labelled_sample(docs, labels, "toxic", max_bytes=100) == [(2, "short", 0), (3, "tiny", 1)]
+
+
+def test_samples_are_bounded_by_rows_and_taken_of_what_there_is(spark):
+    docs = spark.createDataFrame([(1, "hot")] * 900 + [(1, f"hot {i}") for i in range(300)] + [(2, "own")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
+    got = X.labelled_sample(docs, labels, "toxic", max_rows=50)
+    assert len(got) == 50 and len(set(got)) == 50
+    few = X.labelled_sample(docs.filter("doc_id = 2"), labels, "toxic", max_rows=2)
+    assert few == [(2, "own", 0)]
+
+
+def test_without_training_data(spark, labelled):
+    docs, labels = labelled
+    for none in (labels.limit(0), labels.filter("quality = 1 and toxic = 0")):
+        got = Q.judged(docs, none).select("doc_p", "keep").distinct().collect()
+        assert [tuple(r) for r in got] == [(0.5, True)]
+        assert Q.kept(docs, none).count() == docs.count()
+        assert [tuple(r) for r in X.classify(docs, none).select("score", "toxic").distinct().collect()] == [(0.0, False)]
+    assert Q.judged(docs.limit(0), labels).collect() == [] and Q.kept(docs.limit(0), labels).collect() == []
+    assert X.classify(docs.limit(0), labels).collect() == []
+
+
+def test_output_names_in_the_input_do_not_clash(labelled):
+    docs, labels = labelled
+    odd = docs.withColumns({c: F.lit("x") for c in ("score", "keep", "host", "path", "h", "y", "threshold", "bin", "sum", "n")})
+    assert Q.judged(odd, labels).columns == ["doc_id", "host", "path", "doc_p", "host_p", "path_p", "score", "keep"]
+    assert Q.kept(odd, labels).columns == odd.columns and Q.kept(odd, labels).count() > 0
+    assert X.classify(odd, labels).columns == ["doc_id", "lang", "score", "threshold", "toxic"]
+
+
+def test_sites(spark):
+    urls = {"http://H.com/a/b?next=/c/d": ("h.com", "a"), "h.com/a/b/c#x/y": ("h.com", "a/b"), "src0": ("src0", ""), None: ("", ""), "h.com?x=/a/b": ("h.com", ""), "https://h.com/": ("h.com", "")}
+    rows = spark.createDataFrame([(k,) for k in urls], "source string")
+    host, path = Q.site(F.col("source"))
+    assert {r[0]: (r[1], r[2]) for r in rows.select("source", host, path).collect()} == urls
 
 
 def test_training_in_pieces_equals_training_at_once(monkeypatch):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.llm import op07_packing as P
 from tokenlake.llm import op09_token_counts as K
+from tokenlake.llm.packed import NULL_ID
 
 ENC = K.encoding(K.read_ranks())
 
@@ -49,7 +50,7 @@ def cut(served, window):
         k = 0
         while k < n:
             size = min(n - k, window - (at + k) % window)
-            out.append(((at + k) // window, s, None if d == P.NULL_ID else d, k, size))
+            out.append(((at + k) // window, s, None if d == NULL_ID else d, k, size))
             k += size
         at += n
     return sorted(out, key=repr)
@@ -116,7 +117,7 @@ def test_windows_have_their_tokens(spark):
     served = simulate(queue_order(docs), {s: max(1, round(P.SCALE * (x / max(sizes(rows).values())) ** P.ALPHA)) for s, x in sizes(rows).items()}, 50)
     at = 0
     for d, _, n in served:
-        assert ENC.decode(whole[at : at + n]) in text[None if d == P.NULL_ID else d]
+        assert ENC.decode(whole[at : at + n]) in text[None if d == NULL_ID else d]
         at += n
     assert at == len(whole)
 

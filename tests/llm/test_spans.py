@@ -137,6 +137,17 @@ def test_family_meets_an_index_of_an_earlier_run(spark, tmp_path):
     assert again.levels == before
 
 
+def check_order(e, rows):
+    """Entries in order of anchor and suffix, with the words of their texts; their number."""
+    keys = [(int(r["anchor"]), e.words(i)[r["byte"] :]) for i, r in enumerate(e.rows)]
+    assert keys == sorted(keys)
+    for i, r in enumerate(e.rows):
+        w = e.words(i).decode().split(" ")
+        text = words(dict(rows)[int(r["doc"])])
+        assert w[-1] == "" and w[:-1] == text[r["start"] : r["start"] + r["n"] + WIDTH - 1]
+    return len(e.rows)
+
+
 def test_entries_are_in_suffix_order(spark, tmp_path):
     rows = corpus(3)
     family = op08_suffix.Family(spark, f"{tmp_path}/index", 2, WIDTH, GRAM)
@@ -146,14 +157,10 @@ def test_entries_are_in_suffix_order(spark, tmp_path):
     n = 0
     for path in paths:
         for shard in range(2):
-            e = op08_suffix.read_shard([path], shard)
-            keys = [(int(r["anchor"]), e.words(i)[r["byte"] :]) for i, r in enumerate(e.rows)]
-            assert keys == sorted(keys)
-            for i, r in enumerate(e.rows):
-                w = e.words(i).decode().split(" ")
-                text = words(dict(rows)[int(r["doc"])])
-                assert w[-1] == "" and w[:-1] == text[r["start"] : r["start"] + r["n"] + WIDTH - 1]
-            n += len(e.rows)
+            parts = op08_suffix.Shard([path], shard)
+            assert all((parts.part(p).rows["anchor"] % 16 == p).all() for p in parts.packed)
+            for e in map(parts.part, parts.packed):
+                n += check_order(e, rows)
     assert n == sum(size for size, _ in family.levels)
 
 

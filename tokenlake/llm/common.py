@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import os
 import shutil
 import tempfile
 import uuid
@@ -48,6 +50,26 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of jobs that are over and done with.
+
+    It does so when the driver collects garbage, which may take long; a sequence of
+    steps, each written to the shared folder, would fill the executors' disks meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder at the end of the program, if this is still the program and Spark is still there."""
+
+    def go(pid: int = os.getpid()) -> None:
+        if os.getpid() == pid and spark.sparkContext._jsc is not None:
+            remove(spark, path)
+
+    atexit.register(go)
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

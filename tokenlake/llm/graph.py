@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import stable
 
-ROUNDS = 50
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``(u, root)`` of every node with an edge but the roots; the root is the smallest node of the component.
@@ -16,12 +14,12 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has the columns ``u`` and ``v`` of one orderable type.  The rounds
     alternate large stars and small stars (Kiveris et al., 2014): each node
     links its larger neighbours, then its smaller ones, to the smallest node
-    it knows.  Every round is written to the shared folder, and ends with
-    stars around the roots.
+    it knows.  Every round is written to the shared folder; the rounds end, with
+    stars around the roots, when one changes nothing.
     """
     e = stable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(ROUNDS):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = Window.partitionBy("u")
         large = both.withColumn("m", F.least("u", F.min("v").over(near))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -32,4 +30,3 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return e.select("u", F.col("v").alias("root"))
         before = now
-    raise RuntimeError("components did not converge")

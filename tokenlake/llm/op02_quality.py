@@ -22,11 +22,14 @@ the first slash, in lower case; the path what is after it, up to its last slash
 
 Defined results
 * null and empty texts have no evidence: log odds of the prior of the sample.
+* very long texts are read whole.
 * a null source is the host ''.
-* repeated rows are documents of their own; extra columns are kept by ``kept``
-  and ignored by ``judged``; an empty table gives an empty one.
-* a label that is missing, contradictory or not 0 or 1 is not used; training
-  without labelled documents of both classes raises ValueError.
+* ties: a document whose final probability is exactly ``KEEP`` is kept.
+* repeated rows are documents of their own; extra columns, whatever their names,
+  are kept by ``kept`` and ignored by ``judged``; an empty table gives an empty one.
+* a label that is missing, contradictory or not 0 or 1 is not used; without
+  labelled documents of both classes no text has evidence: every probability is
+  one half, and every document is kept.
 """
 
 from __future__ import annotations
@@ -78,6 +81,18 @@ class Model:
         return np.clip(np.where(n > 0, out, self.prior), -20, 20)
 
 
+@dataclass(frozen=True)
+class Untrained:
+    """Stands for a model where there is nothing to learn from."""
+
+    prior: float = 0.0
+
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        return np.zeros(len(texts))
+
+
+UNTRAINED = Untrained()
+
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[97:123] = 0
 _CLASS[128:] = 0
@@ -141,16 +156,18 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
     return Model(mean, scale, p[0], p[1], float(p[2][0]), float(np.log(rate / (1 - rate))))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on a bounded sample of labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | Untrained:
+    """Fit on a bounded sample of labelled documents; ``UNTRAINED`` where it hasn't both classes."""
     rows = labelled_sample(docs, labels, "quality", max_rows)
-    return fit([r[2] for r in rows], np.array([r[3] for r in rows]))
+    y = np.array([r[2] for r in rows])
+    return fit([r[1] for r in rows], y) if len(set(y.tolist())) == 2 else UNTRAINED
 
 
 def site(source: Column) -> tuple[Column, Column]:
     """Host and path of a source."""
     s = F.regexp_replace(F.coalesce(source.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    return F.lower(F.regexp_extract(s, r"^[^/?#]*", 0)), F.regexp_extract(s, r"^[^/?#]*/([^?#]*)/[^/]*$", 1)
+    s = F.regexp_extract(s, r"^[^?#]*", 0)
+    return F.lower(F.regexp_extract(s, r"^[^/]*", 0)), F.regexp_extract(s, r"^[^/]*/(.*)/[^/]*$", 1)
 
 
 def evidence_of(model: Model, docs: DataFrame):  # noqa: ANN201

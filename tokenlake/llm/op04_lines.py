@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line (between newlines) of at least ``MIN_CHARS`` characters is dropped when an
-earlier line, in order of (doc_id, hash of text, line number), is equal to it or
-within one edit: a character inserted, deleted or replaced.  Whether that
-earlier line is dropped itself makes no difference.
+A line (between newlines) is dropped when an earlier line, in order of (doc_id,
+hash of text, line number), is equal to it, whatever its length, or, for lines of
+at least ``MIN_CHARS`` characters, within one edit: a character inserted, deleted
+or replaced.  Whether that earlier line is dropped itself makes no difference.
 
 The join works on distinct lines in two steps, each of which emits variants of a
 line as 64-bit hashed keys and joins equal ones:
@@ -24,18 +24,25 @@ others there, and a line that equals shortened ones is a neighbour of theirs; th
 edit distance is then verified on the texts, and each line keeps the earliest of
 its neighbours.
 
+Equal lines are equal in a 128-bit hash of their bytes; lines within one edit are
+compared as they are.
+
 Defined results
 * lines are compared as they are: case and spaces count, a carriage return is
-  part of the line.  Lines of fewer than ``MIN_CHARS`` characters are never
-  dropped, as one edit turns them into other words, unless ``every`` is set: then
-  equal lines of every length are, blank ones of fewer characters excepted (of
-  nothing but white space).  Near matches need ``MIN_CHARS`` characters all the same.
+  part of the line.  One edit turns lines of fewer than ``MIN_CHARS`` characters
+  into other words, so these have equal lines only.  Shorter lines of nothing but
+  white space are never dropped, as they part paragraphs.
 * null and empty texts have no lines to drop and stay as they are.
+* very long texts and lines are worked on whole; costs are linear in their length,
+  and in the lines dropped of a document.
 * rows equal in doc_id and text are one document; its lines are judged once.
+* ties: of several earlier lines the first in the order above is reported, an
+  equal one or not.
 * a null doc_id comes first and is reported as null.
-* ``deduplicated`` returns all rows and columns; text has the lines left, and
-  n_chars, where there is such a column, their length.  A text whose lines are
-  all dropped becomes empty.  An empty table gives an empty one.
+* ``deduplicated`` returns all rows and columns, whatever their names; text has the
+  lines left, and n_chars, where there is such a column, their length.  A text
+  whose lines are all dropped becomes empty, or its row goes where ``emptied`` is
+  false.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,6 +53,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import packed
 from .common import fresh, stable
@@ -59,6 +67,8 @@ BLANK = np.array([9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x
 PIECE = 1 << 21
 #: At most so many line hashes are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST = 4 << 20
+#: At most so many documents' lines to drop are broadcast.
+MAX_DOCS = 1 << 20
 VARIANT = np.dtype([("variant", "<u8"), ("line", "<u8"), ("kind", "u1")])
 #: Kinds of variants: joined with their like, or a shortened line with the line that it equals.
 LIKE, SHORTENED, WHOLE = 0, 1, 2
@@ -70,7 +80,7 @@ _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 class Lines:
     """Lines of some texts as code points in one array, with prefix hashes."""
 
-    def __init__(self, texts: list[str], least: int, every: bool = False):
+    def __init__(self, texts: list[str], least: int, short: bool = False):
         self.of = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
         joined = "\n".join(texts)
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -79,7 +89,7 @@ class Lines:
         first = np.r_[True, self.of[1:] != self.of[:-1]] if len(self.of) else np.zeros(0, bool)
         number = np.arange(len(self.of)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(self.of) else self.of
         on = stop - start >= least
-        if every:
+        if short:
             full = np.r_[0, np.cumsum(~np.isin(code, BLANK))]
             on |= full[stop] > full[start]
         on = np.flatnonzero(on)
@@ -89,6 +99,9 @@ class Lines:
         np.cumsum((code.astype(np.uint64) + np.uint64(1)) * powers(_R, n), out=self.sum[1:])
         self.back = powers(_RINV, n + 1)
         self.hash = self.part(self.start, self.stop)
+        digest = b"".join(xxh3_128_digest(joined[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(self.start.tolist(), self.stop.tolist()))
+        #: Both halves of the hash that stands for a line.
+        self.line, self.rest = np.frombuffer(digest, "<u8").reshape(-1, 2).T.copy()
 
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of the characters from a to b."""
@@ -127,7 +140,7 @@ def block_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndar
             s, e = lines.start[which[r]], lines.stop[which[r]]
             head, tail = lines.part(s, s + a), lines.part(e - b, e)
             keys.append(mix(head * np.uint64(3) + mix(tail ^ _TAG)))
-            owners.append(lines.hash[which[r]])
+            owners.append(lines.line[which[r]])
     key = np.concatenate(keys)
     return np.concatenate(owners), key, np.full(len(key), LIKE)
 
@@ -139,28 +152,28 @@ def char_variants(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     i = ragged(lines.start[which], n)
     gone = lines.pair(lines.start[row], i, i + 1, lines.stop[row])
     tagged = mix(gone ^ ((i - lines.start[row]).astype(np.uint64) + np.uint64(1)) * _TAG)
-    owner = np.concatenate([lines.hash[row], lines.hash[row], lines.hash[which]])
+    owner = np.concatenate([lines.line[row], lines.line[row], lines.line[which]])
     return owner, np.concatenate([tagged, gone, lines.hash[which]]), np.repeat([LIKE, SHORTENED, WHOLE], [len(row), len(row), len(which)])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], least: int, every: bool = False) -> Iterator[tuple[pa.RecordBatch, str, Lines]]:
+def _pieces(batches: Iterator[pa.RecordBatch], least: int, short: bool = False) -> Iterator[tuple[pa.RecordBatch, str, Lines]]:
     for batch in packed.slices(batches, 2, PIECE):
         texts = batch.column(2).to_pylist()
-        yield batch, "\n".join(texts), Lines(texts, least, every)
+        yield batch, "\n".join(texts), Lines(texts, least, short)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def occurrences(rows: DataFrame, least: int, every: bool = False) -> DataFrame:
-    """``(line, doc_id, key, line_no)`` of every line of ``rows`` that is judged."""
+def occurrences(rows: DataFrame, least: int) -> DataFrame:
+    """``(line, rest, doc_id, key, line_no)`` of every line of ``rows`` that is judged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, lines in _pieces(batches, least, every):
-            yield pa.RecordBatch.from_arrays([_signed(lines.hash), pa.array(np.asarray(batch.column(0))[lines.of]), pa.array(np.asarray(batch.column(1))[lines.of]), pa.array(lines.number.astype(np.int32))], ["line", "doc_id", "key", "line_no"])
+        for batch, _, lines in _pieces(batches, least, True):
+            yield pa.RecordBatch.from_arrays([_signed(lines.line), _signed(lines.rest), pa.array(np.asarray(batch.column(0))[lines.of]), pa.array(np.asarray(batch.column(1))[lines.of]), pa.array(lines.number.astype(np.int32))], ["line", "rest", "doc_id", "key", "line_no"])
 
-    return rows.mapInArrow(run, "line long, doc_id long, key long, line_no int")
+    return rows.mapInArrow(run, "line long, rest long, doc_id long, key long, line_no int")
 
 
 def _packed(variants: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
@@ -171,24 +184,20 @@ def _packed(variants: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> Iter
         yield out
 
 
-def _send(make, n: int, least: int, chosen=None):  # noqa: ANN001, ANN202
-    """Map function that packs variants of the distinct lines (those in ``chosen()`` where given) of a task."""
+def _send(n: int, least: int):  # noqa: ANN202
+    """Map function that packs the block deletions of the distinct lines of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        only = chosen() if chosen else None
         for _, _, lines in _pieces(batches, least):
-            h, which = np.unique(lines.hash, return_index=True)
-            if only is not None:
-                on = np.isin(h, only, assume_unique=True)
-                h, which = h[on], which[on]
+            h, which = np.unique(lines.line, return_index=True)
             new = np.fromiter((x not in seen for x in h.tolist()), bool, len(h))
             which = which[new]
             seen.update(h[new].tolist())
             if len(seen) > REMEMBER:
                 seen.clear()
             for lo in range(0, len(which), 1 << 12):
-                yield from _packed(make(lines, which[lo : lo + (1 << 12)]), n)
+                yield from _packed(block_variants(lines, which[lo : lo + (1 << 12)]), n)
 
     return run
 
@@ -211,27 +220,37 @@ def candidates(rows: DataFrame, least: int) -> DataFrame:
         r = _shared(blocks)
         yield pa.RecordBatch.from_arrays([_signed(np.unique(r["line"]))], ["line"])
 
-    n = packed.partitions(rows.sparkSession)
-    return stable(packed.exchange(rows, _send(block_variants, n, least), meet, "line long", n).distinct())
+    n = packed.partitions(rows.sparkSession, rows)
+    return stable(packed.exchange(rows, _send(n, least), meet, "line long", n).distinct())
+
+
+def _hashes(lines: DataFrame) -> np.ndarray:
+    """The hashes of a table of bounded size, packed by its tasks."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(0)).tobytes()], pa.binary())], ["data"])
 
-def _chosen(rows: DataFrame, lines: DataFrame, least: int) -> tuple[DataFrame, object]:
-    """``(line, text)`` of the distinct chosen lines, and the broadcast that holds their hashes, if they are few enough."""
+    return np.sort(np.frombuffer(b"".join(r[0] for r in lines.mapInArrow(pack, "data binary").collect()), np.uint64))
+
+
+def _chosen(rows: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    """``(line, rest, text)`` of the distinct chosen lines; their hashes are broadcast if they are few enough."""
     few = lines.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in lines.toLocalIterator()], np.int64).view(np.uint64))) if few else None
+    shared = rows.sparkSession.sparkContext.broadcast(_hashes(lines)) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, joined, ls in _pieces(batches, least):
-            h, which = np.unique(ls.hash, return_index=True)
+            h, which = np.unique(np.c_[ls.line, ls.rest], axis=0, return_index=True)
             if shared is not None:
-                on = np.isin(h, shared.value, assume_unique=True)
+                on = np.isin(h[:, 0], shared.value)
                 h, which = h[on], which[on]
-            yield pa.RecordBatch.from_arrays([_signed(h), pa.array([ls.text(joined, i) for i in which.tolist()], pa.string())], ["line", "text"])
+            yield pa.RecordBatch.from_arrays([_signed(h[:, 0].copy()), _signed(h[:, 1].copy()), pa.array([ls.text(joined, i) for i in which.tolist()], pa.string())], ["line", "rest", "text"])
 
-    texts = rows.mapInArrow(run, "line long, text string")
+    texts = rows.mapInArrow(run, "line long, rest long, text string")
     if shared is None:
         texts = texts.join(lines, "line", "left_semi")
-    return texts.groupBy("line").agg(F.min("text").alias("text")), shared
+    return texts.groupBy("line", "rest").agg(F.min("text").alias("text"))
 
 
 def within_one(a: str, b: str) -> bool:
@@ -245,20 +264,20 @@ def within_one(a: str, b: str) -> bool:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(line, at)`` of the pairs whose texts are within one edit."""
+    """``(line, rest, at)`` of the pairs whose texts are within one edit."""
     for batch in batches:
-        ok = [within_one(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3))]
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        ok = [within_one(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(4))]
+        yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
 
 def neighbours(rows: DataFrame, first: DataFrame, least: int) -> DataFrame:
-    """``(line, at, distance)``: each distinct line that has an earlier one within one edit, and the earliest such place.
+    """``(line, rest, at)``: each distinct line that has an earlier one within one edit, and the earliest such place.
 
-    ``first`` has each line's earliest place ``at``.
+    ``first`` has each line's earliest place ``at``.  Half of a line's hash is
+    enough to find candidates: whoever shares it is compared too.
     """
-    texts, _ = _chosen(rows, candidates(rows, least), least)
-    known = stable(texts.join(first, "line"))
-    n = packed.partitions(rows.sparkSession)
+    known = stable(_chosen(rows, candidates(rows, least), least).join(first, ["line", "rest"]))
+    n = packed.partitions(rows.sparkSession, rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in packed.slices(batches, 1, PIECE // 4):
@@ -279,40 +298,51 @@ def neighbours(rows: DataFrame, first: DataFrame, least: int) -> DataFrame:
     best = groups.withColumn("low", other).filter("low.line <> line")
     pairs = best.select("line", F.col("low.line").alias("other")).distinct()
     a, b = known.alias("a"), known.alias("b")
-    ok = pairs.join(a.select("line", F.col("text").alias("mine")), "line").join(b.select(F.col("line").alias("other"), F.col("text").alias("theirs"), "at"), "other").select("line", "at", "mine", "theirs").mapInArrow(_verified, "line long, at struct<doc_id:long,key:long,line_no:int>")
-    return ok.groupBy("line").agg(F.min("at").alias("at"))
+    ok = pairs.join(a.select("line", "rest", F.col("text").alias("mine")), "line").join(b.select(F.col("line").alias("other"), F.col("text").alias("theirs"), "at"), "other").select("line", "rest", "at", "mine", "theirs").mapInArrow(_verified, "line long, rest long, at struct<doc_id:long,key:long,line_no:int>")
+    return ok.groupBy("line", "rest").agg(F.min("at").alias("at"))
 
 
-def dropped(docs: DataFrame, least: int = MIN_CHARS, every: bool = False) -> DataFrame:
+def dropped(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, key, line_no, at)``: every line to drop, and the place of the line that stands for it."""
     rows = packed.identity(docs)
-    spots = stable(occurrences(rows, least, every).distinct())
-    first = stable(spots.groupBy("line").agg(F.min(F.struct("doc_id", "key", "line_no")).alias("at")))
+    spots = stable(occurrences(rows, least).distinct())
+    first = stable(spots.groupBy("line", "rest").agg(F.min(F.struct("doc_id", "key", "line_no")).alias("at")))
     near = neighbours(rows, first, least).withColumnRenamed("at", "near")
     place = F.struct("doc_id", "key", "line_no")
     return (
-        spots.join(first, "line")
-        .join(near, "line", "left")
+        spots.join(first, ["line", "rest"])
+        .join(near, ["line", "rest"], "left")
         .withColumn("to", F.when((F.col("at") < place) & (F.col("near").isNull() | (F.col("at") < F.col("near"))), F.col("at")).otherwise(F.col("near")))
         .filter(F.col("to") < place)
         .select("doc_id", "key", "line_no", F.col("to").alias("at"), F.when(F.col("to") == F.col("at"), 0).otherwise(1).alias("distance"))
     )
 
 
-def report(docs: DataFrame, least: int = MIN_CHARS, every: bool = False) -> DataFrame:
+def report(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, line_no, first_doc_id, first_line_no, distance)`` of every line to drop; lines are numbered from 0."""
-    return dropped(docs, least, every).select(packed.null_back(), "line_no", packed.null_back("at.doc_id").alias("first_doc_id"), F.col("at.line_no").alias("first_line_no"), "distance")
+    return dropped(docs, least).select(packed.null_back(), "line_no", packed.null_back("at.doc_id", "at.key").alias("first_doc_id"), F.col("at.line_no").alias("first_line_no"), "distance")
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_CHARS, every: bool = False) -> DataFrame:
-    """The documents without the lines to drop."""
+def deduplicated(docs: DataFrame, least: int = MIN_CHARS, emptied: bool = True) -> DataFrame:
+    """The documents without the lines to drop; those of which no line is left go too unless ``emptied``.
+
+    The places of the lines to drop are broadcast after a check of their number;
+    beyond, they are joined by a shuffle.
+    """
     a, b, gone, lines = fresh("doc"), fresh("key"), fresh("gone"), fresh("lines")
-    out = dropped(docs, least, every).groupBy(F.col("doc_id").alias(a), F.col("key").alias(b)).agg(F.collect_set("line_no").alias(gone))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({a: F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.NULL_ID)), b: F.xxhash64(text, F.lit(1))}).join(out, [a, b], "left")
-    kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
-    new = {lines: F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)}
-    rows = rows.withColumns(new).withColumn("text", F.col(lines))
+    out = stable(dropped(docs, least).groupBy(F.col("doc_id").alias(a), F.col("key").alias(b)).agg(F.collect_set("line_no").alias(gone)))
+    n = out.agg(F.count("*"), F.sum(F.size(gone))).first()
+    if n[0] <= MAX_DOCS and (n[1] or 0) <= MAX_BROADCAST:
+        out = F.broadcast(out)
+    doc, key = packed.row_id(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumns({a: doc, b: key}).join(out, [a, b], "left")
+    # the places left, in order, by one pass over each list
+    rows = rows.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    if not emptied:
+        rows = rows.filter(F.col(gone).isNull() | F.col("text").rlike(r"[^\s\x0B\x{85}\p{Z}]"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(lines)).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

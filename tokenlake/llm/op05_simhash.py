@@ -25,10 +25,13 @@ thousands of links, not millions.  Groups are the connected components.
 Defined results
 * null, empty and wordless texts have no fingerprint and belong to no group.
 * a one-word text has its word's hash in place of word pairs.
+* very long texts are read whole, in pieces.
+* ties: a bit that as much weight is for as against is 0; of a group the smallest
+  (doc_id, hash of text) stays.
 * rows equal in doc_id and text are members of one group and counted each.
 * a null doc_id is reported as null and is the smallest.
-* extra columns are ignored (``groups``) or kept (``deduplicated``); an empty
-  table gives an empty one.
+* extra columns are ignored (``groups``) or kept (``deduplicated``), whatever their
+  names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -53,6 +56,8 @@ LINKS = "u_doc long, u_key long, v_doc long, v_key long"
 #: Comparisons at once.
 TILE = 1 << 22
 _ROWS = 1 << 15
+#: At most so many rows (of two numbers each) are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 1 << 20
 _SECOND = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -222,7 +227,7 @@ def prints(docs: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM) -> DataFrame:
     """Links ``(u_doc, u_key, v_doc, v_key)`` whose components are those of all near pairs of nodes ``(doc, key, fp, second, pairs)``."""
-    n = packed.partitions(nodes.sparkSession)
+    n = packed.partitions(nodes.sparkSession, nodes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,9 +255,26 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, co
     return packed.exchange(nodes.select("doc", "key", "fp", "second", "pairs"), send, meet, LINKS, n)
 
 
-def members(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM) -> DataFrame:
-    """``(doc_id, key, root)`` of every document row with words; ``root`` is the smallest ``(doc_id, key)`` of its group."""
-    rows = prints(docs)
+def judged_by(docs: DataFrame, originals: DataFrame) -> DataFrame:
+    """As ``prints``, but by the text that ``originals`` has for a doc_id.
+
+    Documents that it does not have, or has with several texts, are judged by their own.
+    """
+    doc, key = packed.row_id(F.col("doc_id"), F.col("text"))
+    prints_of = ["fp", "second", "pairs"]
+    theirs = prints(originals).groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"), *[F.first(c).alias(f"{c}_") for c in prints_of]).filter("low = high and (low & 1) = 0").drop("low", "high")
+    own = prints(docs).dropDuplicates(["doc_id", "key"])
+    rows = docs.select(doc.alias("doc_id"), key.alias("key")).join(theirs, "doc_id", "left").join(own, ["doc_id", "key"], "left")
+    return stable(rows.select("doc_id", "key", *[F.coalesce(f"{c}_", c).alias(c) for c in prints_of]).filter("fp is not null"))
+
+
+def members(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM, originals: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, key, root)`` of every document row with words; ``root`` is the smallest ``(doc_id, key)`` of its group.
+
+    Copies are joined with what stands for their fingerprints; that side has one
+    row a key, so a hot key may be split on the other side, as adaptive execution does.
+    """
+    rows = prints(docs) if originals is None else judged_by(docs, originals)
     first = rows.groupBy("fp", "second", "pairs").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     nodes = first.select("fp", "second", "pairs", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"))
     found = links(nodes, threshold, blocks, confirm).select(F.struct(F.col("u_doc").alias("doc_id"), F.col("u_key").alias("key")).alias("u"), F.struct(F.col("v_doc").alias("doc_id"), F.col("v_key").alias("key")).alias("v"))
@@ -265,15 +287,32 @@ def members(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, c
 
 def groups(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM) -> DataFrame:
     """``(doc_id, group_id, group_size)`` of every document row in a group of two or more; ``group_id`` is the smallest doc_id there."""
-    sized = members(docs, threshold, blocks, confirm).withColumn("group_size", F.count("*").over(Window.partitionBy("root")))
-    return sized.filter("group_size > 1").select(packed.null_back(), packed.null_back("root.doc_id").alias("group_id"), "group_size")
+    rows = stable(members(docs, threshold, blocks, confirm))
+    sizes = rows.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("group_size")).filter("group_size > 1")
+    return rows.join(few(sizes), F.col("root") == F.col("of")).select(packed.null_back(), packed.null_back("root.doc_id", "root.key").alias("group_id"), "group_size")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast where there are few enough."""
+    rows = stable(rows)
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else rows
+
 
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM, originals: DataFrame | None = None) -> DataFrame:
+    """The documents without all but the first of each group, with all columns; of rows equal in doc_id and text one stays.
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, confirm: int = CONFIRM) -> DataFrame:
-    """The documents without all but the first of each group, with all columns; of rows equal in doc_id and text one stays."""
+    ``originals``: a table ``(doc_id, text)`` of what the texts were before lines
+    were taken out of them; groups are those of these texts.
+    """
     a, b, k = fresh("doc"), fresh("key"), fresh("n")
-    out = members(docs, threshold, blocks, confirm).filter("struct(doc_id, key) <> root").select(F.col("doc_id").alias(a), F.col("key").alias(b)).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({a: F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.NULL_ID)), b: F.xxhash64(text, F.lit(1))})
-    kept = rows.join(out, [a, b], "left_anti")
-    return kept.withColumn(k, F.row_number().over(Window.partitionBy(a, b).orderBy(a))).filter((F.col(k) == 1) | ~F.col("text").cast("string").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]") | F.col("text").isNull()).drop(a, b, k)
+    own = stable(members(docs, threshold, blocks, confirm, originals))
+    counts = own.groupBy(F.col("doc_id").alias(a), F.col("key").alias(b)).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key") == F.col("root")).alias("stays"))
+    counts = stable(counts.filter("n > 1 or not stays"))
+    doc, key = packed.row_id(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumns({a: doc, b: key})
+    kept = rows.join(few(counts.select(a, b)), [a, b], "left_anti")
+    twice = few(counts.filter("stays").select(a, b))
+    if twice.limit(1).count():
+        same = rows.join(twice, [a, b], "left_semi").withColumn(k, F.row_number().over(Window.partitionBy(a, b).orderBy(a))).filter(F.col(k) == 1).drop(k)
+        kept = kept.unionByName(same)
+    return kept.select(*docs.columns)

@@ -51,7 +51,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stable
 from .op09_token_counts import PATTERN, VOCABULARY, tokenizers
-from .packed import NULL_ID, null_back, partitions
+from .packed import null_back, partitions, row_id
 
 WINDOW = 2048
 ALPHA = 0.7
@@ -64,8 +64,8 @@ _QUEUE = "doc_id long, key long, source string, n long"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    doc, key = row_id(F.col("doc_id"), F.col("text"))
+    return docs.select(doc.alias("doc_id"), key.alias("key"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def queues(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

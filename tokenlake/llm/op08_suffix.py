@@ -49,8 +49,6 @@ Defined results
 
 from __future__ import annotations
 
-import atexit
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -61,20 +59,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed, spans
-from .common import ensure_checkpoint_dir, remove
+from .common import ensure_checkpoint_dir, release, remove, remove_at_exit
 from .words import WORD_BYTE, text_buffer, word_hashes
 
 BATCHES = 8
 GRAM = 8
 #: Bytes of text to a shard of a new index, where that makes more shards than the session has shuffle partitions.
 SHARD_BYTES = 256 << 20
+#: Parts in which a shard is scanned and merged, one after the other.
+PARTS = 16
 #: Entries that a map task gathers before it sends them on, in bytes of their words.
 FLUSH_BYTES = 32 << 20
 #: start: first window; n: windows; at: words, and byte, bytes of words before the anchor; size: bytes of all words; twice: whether there are copies.
 ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("batch", "<i4"), ("start", "<i4"), ("n", "<i4"), ("at", "<i4"), ("byte", "<i4"), ("size", "<i4"), ("twice", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("stop", "<i8"), ("later", "u1")])
 _FIELDS = ", ".join(f"{n} binary" for n in ("entries", "words"))
-STEP = f"kind string, shard int, doc_id long, key long, start long, stop long, later boolean, n_entries long, {_FIELDS}"
+STEP = f"kind string, shard int, part int, doc_id long, key long, start long, stop long, later boolean, n_entries long, {_FIELDS}"
 
 
 class Entries:
@@ -103,15 +103,30 @@ class Entries:
         return self.take(order)
 
     def to_bytes(self) -> tuple[bytes, bytes]:
+        """Compressed: the fields one after the other, and the words."""
         import zstandard
 
-        return self.rows.tobytes(), zstandard.ZstdCompressor(level=1).compress(self.text)
+        fields = b"".join(np.ascontiguousarray(self.rows[f]).view("u1").reshape(-1, ENTRY[f].itemsize).T.tobytes() for f in ENTRY.names)
+        return zstandard.ZstdCompressor(level=3).compress(fields), zstandard.ZstdCompressor(level=3).compress(self.text)
 
     @classmethod
-    def from_bytes(cls, rows: bytes, text: bytes) -> Entries:
+    def from_bytes(cls, fields: bytes, text: bytes) -> Entries:
         import zstandard
 
-        return cls(np.frombuffer(rows, ENTRY), zstandard.ZstdDecompressor().decompress(text))
+        raw = zstandard.ZstdDecompressor().decompress(fields)
+        n, at = len(raw) // ENTRY.itemsize, 0
+        rows = np.empty(n, ENTRY)
+        for f in ENTRY.names:
+            size = n * ENTRY[f].itemsize
+            rows[f] = np.ascontiguousarray(np.frombuffer(raw, "u1", size, at).reshape(-1, n).T).view(ENTRY[f]).ravel() if n else 0
+            at += size
+        return cls(rows, zstandard.ZstdDecompressor().decompress(text) if text else b"")
+
+    def parts(self) -> Iterator[tuple[int, Entries]]:
+        """Cut by the anchors' last bits, which bounds what is worked on at once."""
+        part = (self.rows["anchor"] % np.uint64(PARTS)).astype(np.int64)
+        for p in np.unique(part).tolist():
+            yield p, self.take(np.flatnonzero(part == p))
 
 
 def buckets(anchor: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -287,32 +302,41 @@ def trimmed(e: Entries, state: np.ndarray, base: np.ndarray, width: int) -> Entr
     return Entries(np.array(rows, ENTRY) if rows else np.empty(0, ENTRY), b"".join(text))
 
 
+def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of a step, null where nothing is given."""
+    types = {"kind": pa.string(), "shard": pa.int32(), "part": pa.int32(), "doc_id": pa.int64(), "key": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "later": pa.bool_(), "n_entries": pa.int64(), "entries": pa.binary(), "words": pa.binary()}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in types.items()], list(types))
+
+
 def _span_rows(out: np.ndarray) -> pa.RecordBatch:
     n = len(out)
-    cols = {"kind": pa.array(["span"] * n, pa.string()), "shard": pa.array(np.full(n, -1, np.int32)), "doc_id": pa.array(out["doc"]), "key": pa.array(out["key"]), "start": pa.array(out["start"]), "stop": pa.array(out["stop"]), "later": pa.array(out["later"] == 1), "n_entries": pa.nulls(n, pa.int64()), "entries": pa.nulls(n, pa.binary()), "words": pa.nulls(n, pa.binary())}
-    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+    return _rows(n, kind=pa.array(["span"] * n, pa.string()), shard=pa.array(np.full(n, -1, np.int32)), doc_id=pa.array(out["doc"]), key=pa.array(out["key"]), start=pa.array(out["start"]), stop=pa.array(out["stop"]), later=pa.array(out["later"] == 1))
 
 
-def _level_row(e: Entries, shard: int) -> pa.RecordBatch:
+def _level_row(e: Entries, shard: int, part: int) -> pa.RecordBatch:
     rows, text = e.in_order().to_bytes()
-    cols = {"kind": pa.array(["level"]), "shard": pa.array([shard], pa.int32()), "doc_id": pa.nulls(1, pa.int64()), "key": pa.nulls(1, pa.int64()), "start": pa.nulls(1, pa.int64()), "stop": pa.nulls(1, pa.int64()), "later": pa.nulls(1, pa.bool_()), "n_entries": pa.array([len(e.rows)], pa.int64()), "entries": pa.array([rows], pa.binary()), "words": pa.array([text], pa.binary())}
-    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+    return _rows(1, kind=pa.array(["level"]), shard=pa.array([shard], pa.int32()), part=pa.array([part], pa.int32()), n_entries=pa.array([len(e.rows)], pa.int64()), entries=pa.array([rows], pa.binary()), words=pa.array([text], pa.binary()))
+
 
+class Shard:
+    """A shard of some levels, from the shared folder; its parts are unpacked one at a time."""
 
-def read_shard(paths: list[str], shard: int) -> Entries:
-    """A shard of some levels, from the shared folder."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
+    def __init__(self, paths: list[str], shard: int):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
-    parts = []
-    for path in paths:
-        where, root = fs.FileSystem.from_uri(path)
-        for info in where.get_file_info(fs.FileSelector(f"{root}/kind=level/shard={shard}", allow_not_found=True)):
-            if info.base_name.endswith(".parquet"):
-                with where.open_input_file(info.path) as f:
-                    t = pq.read_table(f, columns=["entries", "words"])
-                parts += [Entries.from_bytes(a.as_py(), b.as_py()) for a, b in zip(t.column(0), t.column(1))]
-    return Entries.joined(parts)
+        self.packed: dict[int, list[tuple[bytes, bytes]]] = {}
+        for path in paths:
+            where, root = fs.FileSystem.from_uri(path)
+            for info in where.get_file_info(fs.FileSelector(f"{root}/kind=level/shard={shard}", allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    with where.open_input_file(info.path) as f:
+                        t = pq.read_table(f, columns=["part", "entries", "words"])
+                    for part, a, b in zip(*(c.to_pylist() for c in t.columns)):
+                        self.packed.setdefault(part, []).append((a, b))
+
+    def part(self, p: int) -> Entries:
+        return Entries.joined([Entries.from_bytes(a, b) for a, b in self.packed.get(p, [])])
 
 
 class Family:
@@ -363,7 +387,7 @@ class Family:
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
                 for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     rows, text = e.take(order[lo:hi]).to_bytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([int(part[lo])], pa.int32()), pa.array([b"E" + np.int64(len(rows)).tobytes() + rows + text], pa.binary())], ["part", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[lo])], pa.int32()), pa.array([b"E" + len(rows).to_bytes(8, "little") + rows + text], pa.binary())], ["part", "data"])
 
             for b in packed.slices(batches, 2):
                 held.append(entries(b.column(2), np.asarray(b.column(0)), np.asarray(b.column(1)), batch, width, gram))
@@ -384,11 +408,13 @@ class Family:
                         own.append(Entries.from_bytes(raw[9 : 9 + size], raw[9 + size :]))
             if own:
                 shard = TaskContext.get().partitionId()
-                level, found = scan(Entries.joined(own), read_shard(paths, shard), width)
-                del own
-                yield _span_rows(found)
-                if len(level.rows):
-                    yield _level_row(level, shard)
+                levels, batch_of = Shard(paths, shard), Entries.joined(own)
+                own.clear()
+                for p, e in batch_of.parts():
+                    level, found = scan(e, levels.part(p), width)
+                    yield _span_rows(found)
+                    if len(level.rows):
+                        yield _level_row(level, shard, p)
 
         size, path = self._write(packed.exchange(packed.identity(docs), send, meet, STEP, n), f"step-{self.step}")
         if size:
@@ -412,9 +438,9 @@ class Family:
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for shard in b.column(0).to_pylist():
-                    e = read_shard(paths, shard)
-                    if len(e.rows):
-                        yield _level_row(e, shard)
+                    levels = Shard(paths, shard)
+                    for p in sorted(levels.packed):
+                        yield _level_row(levels.part(p), shard, p)
 
         self.levels[k:] = [self._write(self.spark.range(0, self.shards, 1, self.shards).mapInArrow(join, STEP), f"merge-{self.step}")]
         self.gone = paths
@@ -428,6 +454,7 @@ class Family:
         self.gone = []
         if self.step > 1:
             remove(self.spark, f"{self.path}/state-{self.step - 1}")
+        release(self.spark)
 
 
 def matches(docs: DataFrame, width: int = spans.WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -438,14 +465,8 @@ def matches(docs: DataFrame, width: int = spans.WIDTH, gram: int = GRAM, batches
     family = Family(spark, folder, max(packed.partitions(spark), -(-size // SHARD_BYTES)), width, gram)
     batch = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(batches)), F.lit(0))
     found = [family.add(docs.filter(batch == b)) for b in range(batches)]
-    atexit.register(_forget, spark, folder, os.getpid())
+    remove_at_exit(spark, folder)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
     return spans.report(out)
-
-
-def _forget(spark: SparkSession, folder: str, pid: int) -> None:
-    """Delete a family at the end of the program, if Spark is still there."""
-    if os.getpid() == pid and spark.sparkContext._jsc is not None:
-        remove(spark, folder)

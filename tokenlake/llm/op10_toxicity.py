@@ -20,9 +20,11 @@ Defined results
   than a filter is padded with the empty word.
 * a language unseen in calibration, or null, has the threshold of all languages.
 * each row is scored alone over its whole text, whatever its length; repeated
-  rows get equal scores, extra columns are ignored, an empty table gives an
-  empty one.
-* without any labelled document of both classes, training raises ValueError.
+  rows get equal scores, extra columns, whatever their names, are ignored, an
+  empty table gives an empty one.
+* ties: a score equal to the threshold is toxic.
+* without labelled documents of both classes there is nothing to learn: every
+  score is 0 and no document is toxic.
 """
 
 from __future__ import annotations
@@ -238,10 +240,11 @@ def best_threshold(bins: pd.DataFrame) -> float:
     return float((bins["low"].iloc[k] + below) / 2)
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Model, list[int]]:
-    """A model fitted on three quarters of the labelled sample, not calibrated, and their doc_ids."""
+def fit_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Model | None, list[int]]:
+    """A model fitted on three quarters of the labelled sample, not calibrated, and their doc_ids; None where it hasn't both classes."""
     rows = [r for i, r in enumerate(labelled_sample(docs, labels, "toxic", max_rows)) if i % 4 != 3]
-    return fit([r[2] for r in rows], np.array([r[3] for r in rows])), sorted({r[0] for r in rows})
+    y = np.array([r[2] for r in rows])
+    return (fit([r[1] for r in rows], y) if len(set(y.tolist())) == 2 else None), sorted({r[0] for r in rows})
 
 
 def calibrate(model: Model, scores: DataFrame, labels: DataFrame, fitted: list[int]) -> Model:
@@ -303,5 +306,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Train on ``labels`` and score all of ``docs``, once for the thresholds and the result."""
     model, fitted = fit_sample(docs, labels, max_rows)
+    if model is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(0.5).alias("threshold"), F.lit(False).alias("toxic"))
     scores = stable(raw_scores(docs, model))
     return judged(scores, calibrate(model, scores, labels, fitted))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,15 @@ SCHEMA = "part int, data binary"
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input, as Spark estimates it from the files, to a partition of an exchange.
+INPUT_BYTES = 256 << 20
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """The session's number of shuffle partitions, or more where ``df`` is too large for so few."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if df is not None else 0
+    return max(n, -(-size // INPUT_BYTES)) if size < 1 << 60 else n  # beyond: not known
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -43,18 +49,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             at = stop
 
 
-def identity(docs: DataFrame, *extra: str) -> DataFrame:
-    """``(doc_id, key, text, ...)``: the columns by which packed records name a document row.
+def row_id(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """``(doc_id, key)`` by which packed records name a document row: ``NULL_ID`` for null, and a hash of the text whose last bit tells that."""
+    key = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), F.lit(1))
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)), key.bitwiseAND(F.lit(-2)).bitwiseOR(F.when(doc_id.cast("long").isNull(), 1).otherwise(0))
 
-    ``key`` is a hash of the text; rows equal in doc_id and text are one document.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("key"), text.alias("text"), *[F.col(c) for c in extra])
+
+def identity(docs: DataFrame, *extra: str) -> DataFrame:
+    """``(doc_id, key, text, ...)``; rows equal in doc_id and text are one document."""
+    doc, key = row_id(F.col("doc_id"), F.col("text"))
+    return docs.select(doc.alias("doc_id"), key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in extra])
 
 
-def null_back(doc_id: str = "doc_id"):  # noqa: ANN201
+def null_back(doc_id: str = "doc_id", key: str = "key") -> Column:
     """The doc_id as in the input."""
-    return F.when(F.col(doc_id) == F.lit(NULL_ID), F.lit(None)).otherwise(F.col(doc_id)).alias(doc_id)
+    return F.when((F.col(doc_id) == F.lit(NULL_ID)) & (F.col(key).bitwiseAND(F.lit(1)) == 1), F.lit(None)).otherwise(F.col(doc_id)).alias("doc_id")
 
 
 def bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -93,5 +102,5 @@ def unpack(blocks: Iterator[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
 
 def exchange(df: DataFrame, make: Callable, reduce: Callable, schema: str, n: int | None = None) -> DataFrame:
     """``make`` packs the rows of ``df``, ``reduce`` gets the blocks of one partition."""
-    n = n or partitions(df.sparkSession)
+    n = n or partitions(df.sparkSession, df)
     return df.mapInArrow(make, SCHEMA).repartitionById(n, F.col("part")).mapInArrow(reduce, schema)

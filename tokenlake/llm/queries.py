@@ -29,10 +29,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_lines.report(_table(spark, sf_dir, "documents"))
 
 
-def lines_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op04_lines.report(_table(spark, sf_dir, "documents"), every=True)
-
-
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_simhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality,
     "op3_decontaminate": decontaminate,
     "op4_lines": lines,
-    "op4_lines_every": lines_every,
     "op5_simhash": simhash,
     "op6_compression": compression,
     "op7_packing": packing,
@@ -105,13 +100,13 @@ SELECT doc_id, item_id, count(*) AS n_hits FROM grams JOIN tests USING (k, g) GR
 }
 
 # Lines within one edit agree in their first or last half, which the join uses before it measures the distance.
-ORACLE["op4_lines"] = """
+ORACLE["op4_lines"] = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM docs, unnest(range(1, len(ls) + 1)) AS t(i) WHERE length(ls[i]) >= 20),
+lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM docs, unnest(range(1, len(ls) + 1)) AS t(i) WHERE length(ls[i]) >= 20 OR regexp_matches(ls[i], '[^\s\x0B\x{85}\p{Z}]')),
 firsts AS (SELECT line, min(row(doc_id, line_no)) AS spot FROM lines GROUP BY line),
 halves AS (
   SELECT line, spot, m, side, CASE side WHEN 0 THEN left(line, m // 2) ELSE right(line, (m - 1) // 2) END AS half
-  FROM firsts, (SELECT unnest([0, 1]) AS side), unnest([length(line), length(line) + 1]) AS t(m)),
+  FROM firsts, (SELECT unnest([0, 1]) AS side), unnest([length(line), length(line) + 1]) AS t(m) WHERE length(line) >= 20),
 pairs AS (
   SELECT DISTINCT a.line, b.line AS other, b.spot FROM halves AS a JOIN halves AS b USING (m, side, half)
   WHERE b.spot < a.spot AND a.line <> b.line AND abs(length(a.line) - length(b.line)) <= 1),
@@ -122,10 +117,3 @@ judged AS (
 SELECT doc_id, line_no::INTEGER AS line_no, dest[1] AS first_doc_id, dest[2]::INTEGER AS first_line_no, CASE WHEN dest = spot THEN 0 ELSE 1 END AS distance
 FROM judged WHERE dest < row(doc_id, line_no)
 """
-
-# The same with equal lines of every length that are not blank.
-ORACLE["op4_lines_every"] = (
-    ORACLE["op4_lines"]
-    .replace("WHERE length(ls[i]) >= 20)", r"WHERE length(ls[i]) >= 20 OR regexp_matches(ls[i], '[^\s\x0B\x{85}\p{Z}]'))")
-    .replace("AS t(m))", "AS t(m) WHERE length(line) >= 20)")
-)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stable
 
-#: At most so many labelled documents train a model.
+#: At most so many labelled document rows train a model.
 MAX_ROWS = 4000
 #: At most so many bytes of text train a model; a document whose whole text doesn't fit any more is left out.
 MAX_BYTES = 32 << 20
+#: Labels of at most so many documents are broadcast (16 bytes each); more are joined by a shuffle of doc_ids.
+MAX_BROADCAST = 1 << 20
 
 
 def usable(labels: DataFrame, label: str) -> DataFrame:
@@ -25,31 +27,30 @@ def usable(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[int, str, str, int]]:
-    """``(doc_id, lang, text, label)`` of at most ``max_rows`` labelled documents.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[int, str, int]]:
+    """``(doc_id, text, label)`` of at most ``max_rows`` labelled document rows.
 
-    The sample is the rows of smallest hash of doc_id, so it does not depend on
-    the partitioning.  Rows without label or text, and doc_ids with
-    contradictory labels, are left out.  The chosen doc_ids, bounded by
-    ``max_rows``, are broadcast; the documents are not shuffled.
+    The sample is taken of the labelled documents that there are, by the smallest
+    hashes of doc_id and text, so it does not depend on the partitioning, and a
+    filtered corpus trains on what it has.  Rows equal in doc_id and text count
+    once.  Rows without label or text, and doc_ids with contradictory labels, are
+    left out.  First the hashes and sizes of the labelled rows are gathered, and
+    only ``max_rows`` of them; then the texts of those.
 
     Texts are whole.  Where they have more than ``max_bytes`` bytes together, a
     document is left out when it doesn't fit beside those of smaller hash.
     """
-    chosen = usable(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-        .filter("text is not null")
-        .join(F.broadcast(chosen), "doc_id")
-    )
-    rows = stable(rows)
-    sizes = rows.groupBy(F.xxhash64("doc_id").alias("hash"), "doc_id").agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    known = stable(usable(labels, label))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    few = F.broadcast(known) if known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else known
+    sizes = rows.select("doc_id", "h", F.octet_length("text").alias("size")).join(few, "doc_id").groupBy("doc_id", "h", "y").agg(F.min("size").alias("size"))
     fit, left = [], max_bytes
-    for r in sorted(sizes):
+    for r in sizes.orderBy("h", "doc_id").limit(max_rows).collect():
         if r["size"] <= left:
-            fit.append(r["doc_id"])
+            fit.append((r["doc_id"], r["h"], r["y"]))
             left -= r["size"]
-    if len(fit) < len(sizes):
-        rows = rows.filter(F.col("doc_id").isin(fit))
-    rows = rows.collect()
-    return sorted((r["doc_id"], r["lang"], r["text"], r["y"]) for r in rows)
+    chosen = docs.sparkSession.createDataFrame(fit, "doc_id long, h long, y int")
+    once = Window.partitionBy("doc_id", "h").orderBy("h")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "h"]).withColumn("k", F.row_number().over(once)).filter("k = 1")
+    return sorted((r["doc_id"], r["text"], r["y"]) for r in found.select("doc_id", "text", "y").collect())
