@@ -56,6 +56,24 @@ def test_decontamination_cases(spark):
     assert D.contaminated(docs.limit(0), bench).collect() == [] and D.decontaminate(docs.limit(0), bench).collect() == []
 
 
+def test_a_benchmark_too_large_is_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id long, text string")
+    bench = docs.withColumnRenamed("doc_id", "item_id")
+    monkeypatch.setattr(D._normal_items, "__defaults__", (5,))
+    with pytest.raises(ValueError, match="bytes"):
+        D.decontaminate(docs, bench)
+
+
+def test_small_matchers_find_the_same(spark, monkeypatch):
+    rnd = random.Random(6)
+    items = [(i, " ".join(rnd.choices("abcdefgh", k=12))) for i in range(20)]
+    docs = [(i, " ".join(rnd.choices("abcdefgh", k=90)) + " " + items[i % 20][1]) for i in range(20)]
+    monkeypatch.setattr(D, "MATCHER_BYTES", 60)
+    assert len(D._matchers(items, 4)[0]) > 10
+    got = {(r["doc_id"], r["item_id"]): r["n_hits"] for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 4).collect()}
+    assert got == brute_hits(docs, items, 4)
+
+
 def test_items_without_id_are_searched(spark):
     item = "one two three four five six seven eight nine"
     docs = spark.createDataFrame([(1, f"x {item} y"), (2, "own words")], "doc_id long, text string")
@@ -81,11 +99,21 @@ def test_compression_equals_direct_computation(spark):
         for r in out[i]:
             assert (r["n_bytes"], r["ratio"], r["min_chunk_ratio"], r["max_chunk_ratio"]) == pytest.approx(want)
     verdicts = [out[i][0]["verdict"] for i in range(len(texts))]
-    assert verdicts[:6] == ["short", "short", "short", "ok", "ok", "repetitive"]
+    assert verdicts[:6] == ["ok", "ok", "ok", "ok", "ok", "repetitive"]
     assert verdicts[6] == "repetitive" and verdicts[8] == "repetitive"
     assert len(out[4]) == 2
-    assert all(r["keep"] == (r["verdict"] in ("ok", "short")) for rs in out.values() for r in rs)
+    assert all(r["keep"] == (r["verdict"] == "ok") for rs in out.values() for r in rs)
     assert C.measured(rows.limit(0)).collect() == []
+    clash = spark.createDataFrame([(1, "a" * 99, "x"), (2, "plain words here", "y")], "doc_id long, text string, verdict string")
+    assert {r["doc_id"]: r["verdict"] for r in C.measured(clash).collect()} == {1: "repetitive", 2: "ok"}
+
+
+@pytest.mark.parametrize("n", [0, 50, 100, 499, 500, 2000, 8000, 50_000, 10**9])
+def test_every_length_has_a_band(n):
+    band = [b for b in C.BANDS if b.least <= n][-1]
+    assert C.verdict(n, band.low, band.chunk_low, band.chunk_high) == C.verdict(n, band.high, band.chunk_low, band.chunk_high) == "ok"
+    assert C.verdict(n, band.high + 0.1, 2, 2) == C.verdict(n, 2, 2, band.chunk_high + 0.1) == "repetitive"
+    assert C.verdict(n, band.low - 0.01, 1.5, 1.5) == C.verdict(n, (band.low + band.high) / 2, band.chunk_low - 0.01, 1.5) == "incompressible"
 
 
 def test_chunks_cover_the_text():

@@ -103,6 +103,20 @@ def test_sketch_never_underestimates(spark):
     assert op01_substring.row_bits(0) == 16 and op01_substring.row_bits(10**15) == 29
 
 
+def test_long_words_do_not_collide():
+    from tokenlake.llm.words import text_buffer, word_hashes
+    import pyarrow as pa
+
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    h = word_hashes(*text_buffer(pa.array([f"{a} {b} {a.upper()}"])))[0].tolist()
+    assert h[0] == h[2] != h[1]
+    for piece in (1 << 22, 100, 5000):
+        assert word_hashes(*text_buffer(pa.array([f"x {a} {b} {a}"])), piece)[0].tolist()[1:] == [h[0], h[1], h[0]]
+
+
 def family_spans(frames):
     """Maximal spans of the window spans of several batches."""
     out = frames[0]

@@ -38,7 +38,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,15 +173,14 @@ def evidence_of(model: Model, docs: DataFrame):  # noqa: ANN201
     """A column function: log odds of a text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for t in parts:
-            rows = pa.RecordBatch.from_arrays([pa.array(t, pa.large_string(), from_pandas=True)], ["t"])
-            out = [m.evidence(b.column(0)) for b in slices(iter([rows]), 0, SLICE_BYTES)]
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            out = [m.evidence(b.column(0)) for b in slices(iter([pa.RecordBatch.from_arrays([t], ["t"])]), 0, SLICE_BYTES)]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")
 
 
 def _logit(p: Column) -> Column:

@@ -22,21 +22,23 @@ Defined results
   ``contaminated`` adds up rows of one doc_id.
 * repeated benchmark items are reported under each of their item_ids; rows with
   the same item_id and text count once.
-* other columns are ignored by ``contaminated`` and kept by ``decontaminate``.
+* very long texts are searched whole.
+* ties: overlapping occurrences, and strings of several items at one place, all count.
+* other columns, whatever their names, are ignored by ``contaminated`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import normalized
-from .packed import NULL_ID
+from .packed import NULL_ID, slices
 from .words import text_buffer
 
 NGRAM = 8
@@ -47,7 +49,11 @@ TABLE_BITS = 20
 LANE = 512
 #: Benchmark bytes in one matcher; a larger benchmark is searched in several passes over each batch.
 MATCHER_BYTES = 64 << 20
+#: Bytes of normalised benchmark text that are sent to all tasks at most; more is an error.
+BENCHMARK_BYTES = 256 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Of the Python worker: the matchers, by the job that they belong to.
+_WORKER: dict[tuple[str, int], tuple] = {}
 
 
 def test_strings(text: str, n: int = NGRAM) -> list[str]:
@@ -147,25 +153,39 @@ def _matchers(items: list[tuple[int, str]], n: int) -> tuple[list[WuManber], lis
     return out, whose
 
 
-def _normal_items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """``(item_id, normalised text)`` of the items that have test strings, ``NULL_ID`` for a null item_id."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("i"), normalized(F.col("text")).alias("t")).filter("t <> ''").distinct().collect()
-    return [(r["i"], r["t"]) for r in rows]
+def _normal_items(benchmark: DataFrame, most: int = BENCHMARK_BYTES) -> list[tuple[int, str]]:
+    """``(item_id, normalised text)`` of the items that have test strings, ``NULL_ID`` for a null item_id; checked to be at most ``most`` bytes."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("i"), normalized(F.col("text")).alias("t")).filter("t <> ''").distinct()
+    size = rows.agg(F.sum(F.octet_length("t") + 8)).first()[0] or 0
+    if size > most:
+        raise ValueError(f"the benchmark has {size} bytes; search {most} at a time, and join what is found")
+    return [(r["i"], r["t"]) for r in rows.collect()]
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame):  # noqa: ANN202
+    return docs.sparkSession.sparkContext.broadcast(_normal_items(benchmark)), uuid.uuid4().hex
+
+
+def matchers_of(name: str, shared, n: int) -> tuple[list[WuManber], list[list[list[int]]]]:  # noqa: ANN001
+    """The job's matchers, built once by a Python worker."""
+    if (name, n) not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name, n] = _matchers(shared.value, n)
+    return _WORKER[name, n]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """``(doc_id, item_id, n_hits)`` of each document row and item with at least one hit.
 
-    The test strings travel to the tasks in a broadcast variable.  Their size is
-    that of the benchmark, a table of fixed size beside the corpus, and beyond
-    ``MATCHER_BYTES`` they are cut into matchers of bounded size.
+    The benchmark, a table of fixed size beside the corpus, travels to the tasks in
+    a broadcast variable, after a check of its size; beyond ``MATCHER_BYTES`` its
+    test strings are cut into matchers of bounded size.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_normal_items(benchmark))
+    shared, name = _shared(docs, benchmark)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers, whose = _matchers(shared.value, n)
-        for batch in batches:
+        matchers, whose = matchers_of(name, shared, n)
+        for batch in slices(batches, 1):
             buf, offsets = text_buffer(batch.column(1))
             doc, item = [], []
             for m, own in zip(matchers, whose):
@@ -190,17 +210,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataF
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """The documents without any hit, with all their columns, in one pass and without a shuffle."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_normal_items(benchmark))
-
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matchers, _ = _matchers(shared.value, n)
-        for t in parts:
-            buf, offsets = text_buffer(pa.array(t, pa.large_string(), from_pandas=True))
-            ok = np.ones(len(t), bool)
-            for m in matchers:
-                ok[np.searchsorted(offsets, m.search(buf)[0], side="right") - 1] = False
-            yield pd.Series(ok)
-
-    clean.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.filter(F.pandas_udf(clean, "boolean")(F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" "))))
+    shared, name = _shared(docs, benchmark)
+
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matchers, _ = matchers_of(name, shared, n)
+        for whole in parts:
+            out = []
+            for piece in slices(iter([pa.RecordBatch.from_arrays([whole], ["t"])]), 0):
+                buf, offsets = text_buffer(piece.column(0))
+                ok = np.ones(piece.num_rows, bool)
+                for m in matchers:
+                    ok[np.searchsorted(offsets, m.search(buf)[0], side="right") - 1] = False
+                out.append(ok)
+            yield pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    clean.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.filter(F.arrow_udf(clean, "boolean")(F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" "))))

@@ -7,12 +7,15 @@ length, so the limits are a table by length.
 
 Defined results
 * null text is treated as empty.
-* texts of fewer than ``BANDS[0].least`` bytes, empty ones included, are never
-  rejected: their ratio says nothing; the ratio of an empty text is 1.
+* the ratio of an empty text is 1.  Texts of under 100 bytes have a band of their
+  own: zstandard's frame alone makes them up to ten times larger, so only the high limit
+  says anything of them.
+* very long texts are compressed whole.
+* ties: a ratio equal to a limit is within it.
 * the last chunk is merged into the one before it where it would be shorter
   than half a chunk, so every text has at least one chunk.
-* each row is judged alone: repeated rows get equal results, extra columns have
-  no influence, an empty table gives an empty one.
+* each row is judged alone: repeated rows get equal results, extra columns,
+  whatever their names, have no influence, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,14 +44,13 @@ class Band(NamedTuple):
 
 #: Limits by length, in ascending order.
 BANDS = (
+    Band(0, 0.05, 2.5, 0.05, 2.5),
     Band(100, 0.85, 3.0, 0.85, 3.0),
     Band(500, 1.2, 3.5, 1.2, 3.5),
     Band(2_000, 1.4, 4.0, 1.4, 5.0),
     Band(8_000, 1.5, 5.0, 1.4, 8.0),
     Band(50_000, 1.5, 6.0, 1.4, 8.0),
 )
-#: Verdicts of documents that stay.
-KEPT = ("ok", "short")
 SCHEMA = "doc_id long, n_bytes long, ratio double, min_chunk_ratio double, max_chunk_ratio double, verdict string, keep boolean"
 
 
@@ -59,13 +61,8 @@ def chunk_bounds(n: int, chunk: int = CHUNK) -> list[tuple[int, int]]:
 
 
 def verdict(n: int, ratio: float, low: float, high: float, bands: tuple[Band, ...] = BANDS) -> str:
-    """``ok``, ``short``, ``repetitive`` or ``incompressible``."""
-    band = None
-    for b in bands:
-        if n >= b.least:
-            band = b
-    if band is None:
-        return "short"
+    """``ok``, ``repetitive`` or ``incompressible``, by the last band that begins at n bytes or below."""
+    band = [b for b in bands if n >= b.least][-1]
     if ratio > band.high or high > band.chunk_high:
         return "repetitive"
     if ratio < band.low or low < band.chunk_low:
@@ -91,6 +88,6 @@ def measured(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK, bands: tup
                 out.append((n, whole, min(parts), max(parts), verdict(n, whole, min(parts), max(parts), bands)))
             if out:
                 n, ratio, low, high, v = zip(*out)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ratio), pa.array(low), pa.array(high), pa.array(v), pa.array([x in KEPT for x in v])], ["doc_id", "n_bytes", "ratio", "min_chunk_ratio", "max_chunk_ratio", "verdict", "keep"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ratio), pa.array(low), pa.array(high), pa.array(v), pa.array([x == "ok" for x in v])], ["doc_id", "n_bytes", "ratio", "min_chunk_ratio", "max_chunk_ratio", "verdict", "keep"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

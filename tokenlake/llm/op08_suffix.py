@@ -55,7 +55,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed, spans
@@ -364,10 +364,9 @@ class Family:
 
     def _write(self, rows: DataFrame, name: str) -> tuple[int, str]:
         """Write a step; its number of entries and its path."""
-        path = f"{self.path}/{name}"
-        rows.write.mode("overwrite").partitionBy("kind", "shard").parquet(path)
-        n = self.spark.read.schema(STEP).parquet(path).filter("kind = 'level'").agg(F.sum("n_entries")).first()[0]
-        return n or 0, path
+        path, seen = f"{self.path}/{name}", Observation()
+        rows.observe(seen, F.sum("n_entries").alias("n")).write.mode("overwrite").partitionBy("kind", "shard").parquet(path)
+        return seen.get["n"] or 0, path
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Take in a batch: ``(doc_id, key, start, stop, later)``, spans of windows that it repeats, its own and earlier ones."""

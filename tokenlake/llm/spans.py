@@ -4,9 +4,7 @@ A window is a run of ``WIDTH`` words at any position of a text.  Its *anchor* is
 the run of ``GRAM`` words inside it with the smallest hash, the leftmost of
 equals, so equal windows have equal anchors at equal places.  Successive windows
 mostly share their anchor, hence a text of n words has about
-2 n / (WIDTH - GRAM + 2) anchors.  All windows of an anchor travel together:
-the anchor's hash, the place, and 40 bits of each window's own hash.  Windows
-count as equal when the 64-bit hash of their anchor and those 40 bits agree.
+2 n / (WIDTH - GRAM + 2) anchors.
 """
 
 from __future__ import annotations
@@ -18,13 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import packed
-from .words import mix, text_buffer, window_hashes, word_hashes
+from .words import text_buffer, window_hashes, word_hashes
 
 WIDTH = 50
 GRAM = 25
-RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4")])
-#: Records that a map task gathers before it sends them on.
-FLUSH_BYTES = 24 << 20
 SPANS = "doc_id long, key long, start long, stop long, later boolean"
 RESULT = "doc_id long, key long, start_word long, n_words long, removable_words long"
 
@@ -70,91 +65,6 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
 
 
-def pack_runs(records: np.ndarray, hashes: np.ndarray, n: int) -> pa.RecordBatch:
-    """Runs and their windows' hashes, cut to 40 bits, by partition of the anchor."""
-    part = packed.bucket(records["anchor"], n)
-    order = np.argsort(part.astype(np.int32), kind="stable")
-    first = np.r_[0, np.cumsum(records["n"])[:-1]].astype(np.int64)
-    records, part = records[order], part[order]
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    data = []
-    for a, b in zip(cut, np.r_[cut[1:], len(part)]):
-        r = records[a:b]
-        h = hashes[ragged(first[order[a:b]], r["n"].astype(np.int64))] >> np.uint64(24)
-        data.append(b"".join([np.int64(len(r)).tobytes(), *(np.ascontiguousarray(r[c]).tobytes() for c in RUN.names), h.astype("<u4").tobytes(), (h >> np.uint64(32)).astype("u1").tobytes()]))
-    return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
-
-
-def unpack_runs(blocks: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """The runs that came to a partition, in order of document, and one 64-bit key per window."""
-    recs, lows = [], []
-    for batch in blocks:
-        for value in batch.column(1):
-            raw = value.as_buffer()
-            m, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
-            r = np.empty(m, RUN)
-            for c in RUN.names:
-                r[c] = np.frombuffer(raw, RUN[c], m, at)
-                at += m * RUN[c].itemsize
-            k = int(r["n"].sum())
-            low = np.frombuffer(raw, "<u4", k, at).astype(np.uint64) | (np.frombuffer(raw, "u1", k, at + 4 * k).astype(np.uint64) << np.uint64(32))
-            recs.append(r)
-            lows.append(low)
-    if not recs:
-        return np.empty(0, RUN), np.zeros(0, np.uint64)
-    r, low = np.concatenate(recs), np.concatenate(lows)
-    del recs, lows
-    first = np.r_[0, np.cumsum(r["n"])[:-1]].astype(np.int64)
-    order = np.lexsort((r["start"], r["key"], r["doc"]))
-    low = low[ragged(first[order], r["n"][order].astype(np.int64))]
-    r = r[order]
-    return r, mix(np.repeat(r["anchor"], r["n"]) + low * packed.MULTIPLY)
-
-
-def states_to_spans(r: np.ndarray, state: np.ndarray, width: int) -> pa.RecordBatch:
-    """Spans of each run's successive windows of one state: 1 repeated, 2 repeated and not the earliest; 0 is left out."""
-    run = np.repeat(np.arange(len(r)), r["n"])
-    new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (state[1:] != state[:-1])]) if len(run) else np.zeros(0, np.int64)
-    stop = np.r_[new[1:], len(run)]
-    on = state[new] > 0
-    new, stop = new[on], stop[on]
-    of = run[new]
-    base = np.r_[0, np.cumsum(r["n"])[:-1]].astype(np.int64)[of] if len(of) else new
-    start = r["start"][of].astype(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(r["doc"][of]), pa.array(r["key"][of]), pa.array(start + new - base), pa.array(start + stop - base - 1 + width), pa.array(state[new] == 2)],
-        ["doc_id", "key", "start", "stop", "later"],
-    )
-
-
-def send_runs(docs: DataFrame, width: int, gram: int, chosen, n: int):  # noqa: ANN001, ANN201
-    """A map function that packs the runs whose anchors ``chosen()`` accepts (all where it is None)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = chosen() if chosen else None
-        recs, hashes, size = [], [], 0
-        for batch in packed.slices(batches, 2):
-            anchor, text, start, count, full = runs(batch.column(2), width, gram)
-            first = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-            if test is not None:
-                on = np.flatnonzero(test(anchor))
-                full = full[ragged(first[on], count[on])]
-                anchor, text, start, count = anchor[on], text[on], start[on], count[on]
-            r = np.empty(len(anchor), RUN)
-            r["anchor"], r["start"], r["n"] = anchor, start, count
-            r["doc"], r["key"] = np.asarray(batch.column(0))[text], np.asarray(batch.column(1))[text]
-            recs.append(r)
-            hashes.append(full)
-            size += r.nbytes + full.nbytes
-            if size > FLUSH_BYTES:
-                yield pack_runs(np.concatenate(recs), np.concatenate(hashes), n)
-                recs, hashes, size = [], [], 0
-        if size:
-            yield pack_runs(np.concatenate(recs), np.concatenate(hashes), n)
-
-    return make
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal spans of each document of this partition, with the words of theirs that later windows cover."""
     parts = [b for b in batches if b.num_rows]

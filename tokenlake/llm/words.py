@@ -2,7 +2,9 @@
 
 A *word* is a maximal run of ASCII letters, digits and non-ASCII bytes; ASCII
 letters are folded to lower case; everything else separates words.  Hashes are
-64-bit polynomial hashes of a word's bytes, mixed so that every bit is usable.
+64-bit polynomial hashes of a word's bytes, mixed so that every bit is usable;
+words of over ``LONG`` bytes, among which such hashes have systematic collisions,
+are hashed by XXH3.
 They depend on the word alone, so they agree between tasks and machines.
 """
 
@@ -10,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
-_MASK = (1 << 64) - 1
+LONG = 256
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -75,7 +78,10 @@ def _segment(buf: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     e = np.flatnonzero(end) + 1
     h = np.zeros(n + 1, np.uint64)
     np.cumsum(folded * powers(_R, n), out=h[1:])
-    return s, e, mix((h[e] - h[s]) * powers(_RINV, n)[s] + (e - s).astype(np.uint64))
+    out = mix((h[e] - h[s]) * powers(_RINV, n)[s] + (e - s).astype(np.uint64))
+    for i in np.flatnonzero(e - s > LONG).tolist():
+        out[i] = xxh3_64_intdigest(folded[s[i] : e[i]].tobytes())
+    return s, e, out
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray, piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +98,9 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, piece: int = 1 << 22) -> t
             if offsets[k] > at:
                 stop = int(offsets[k])
             else:
-                while stop < n and IS_WORD[buf[stop]]:
-                    stop += 1
+                while stop < n and IS_WORD[buf[stop]]:  # on to the next separator
+                    gap = np.flatnonzero(~IS_WORD[buf[stop : stop + piece]])
+                    stop = min(n, stop + (int(gap[0]) if len(gap) else piece))
         lo, hi = np.searchsorted(offsets, [at, stop])
         s, e, h = _segment(buf[at:stop], offsets[lo : hi + 1] - at)
         hs.append(h)
