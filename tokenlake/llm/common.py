@@ -78,3 +78,21 @@ def fresh(prefix: str) -> str:
 def normalized(text: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one space, no outer space; null is empty."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+#: Rows of an Arrow batch where the rest of a row waits in the JVM for what Python says.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches made small enough for whole texts, unless they are small already.
+
+    For column functions of texts: a batch is held by the JVM, with all other columns,
+    and by the Python worker at once.  The setting stays, as the plan that needs it
+    runs when the caller wants it to.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df

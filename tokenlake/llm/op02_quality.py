@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stable
+from .common import fresh, small_batches, stable
 from .packed import slices
 from .training import MAX_ROWS, labelled_sample
 from .words import text_buffer, word_hashes
@@ -171,7 +171,7 @@ def site(source: Column) -> tuple[Column, Column]:
 
 def evidence_of(model: Model, docs: DataFrame):  # noqa: ANN201
     """A column function: log odds of a text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
