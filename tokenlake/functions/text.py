@@ -7,6 +7,7 @@ be derived from the same tables of ranges.
 
 from __future__ import annotations
 
+import warnings
 from enum import IntFlag
 
 from pyspark.sql import Column
@@ -45,14 +46,16 @@ class Norm(IntFlag):
     WHITESPACE = 8
 
 
-def parse_flags(letters: str) -> Norm:
-    """Flags from the letters w (white space), l (lower case) and a (accents)."""
+def parse_flags(letters: str, strict: bool = True) -> Norm:
+    """Flags from the letters w (white space), l (lower case) and a (accents); others raise, or warn where not ``strict``."""
     known = {"w": Norm.WHITESPACE, "l": Norm.LOWERCASE, "a": Norm.STRIP_ACCENTS}
     out = Norm.NONE
     for c in letters:
         if c not in known:
-            raise ValueError(f"unknown normalisation flag {c!r}; known: w, l, a")
-        out |= known[c]
+            if strict:
+                raise ValueError(f"unknown normalisation flag {c!r}; known: w, l, a")
+            warnings.warn(f"normalisation flag {c!r} is not known and has no effect", stacklevel=2)
+        out |= known.get(c, Norm.NONE)
     return out
 
 
@@ -124,6 +127,23 @@ def sequence_length(first_byte: Column) -> Column:
     return F.when(first_byte.between(0xC0, 0xDF), 2).when(first_byte.between(0xE0, 0xEF), 3).when(first_byte.between(0xF0, 0xF7), 4).otherwise(1)
 
 
+def encode_codepoint(code: Column) -> Column:
+    """UTF-8 of a code point as binary; empty for surrogates and numbers that are none."""
+    c = code.cast("int")
+
+    def tail(shift: int) -> Column:
+        return F.shiftright(c, shift).bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80))
+
+    def joined(*parts: Column) -> Column:
+        return F.unhex(F.concat(*[F.lpad(F.hex(p.cast("long")), 2, "0") for p in parts]))
+
+    two = joined(F.shiftright(c, 6).bitwiseOR(F.lit(0xC0)), tail(0))
+    three = joined(F.shiftright(c, 12).bitwiseOR(F.lit(0xE0)), tail(6), tail(0))
+    four = joined(F.shiftright(c, 18).bitwiseOR(F.lit(0xF0)), tail(12), tail(6), tail(0))
+    bad = (c < 0) | (c > 0x10FFFF) | c.between(0xD800, 0xDFFF)
+    return F.when(bad, F.unhex(F.lit(""))).when(c < 0x80, joined(c)).when(c < 0x800, two).when(c < 0x10000, three).otherwise(four)
+
+
 def is_clean_utf8(data: Column) -> Column:
     """Whether a binary or text value is valid UTF-8 without any U+FFFD, which counts as damage."""
     text = data.cast("string")

@@ -20,6 +20,16 @@ STOPWORDS = tuple("ama ancak arasında ben bir biz bu da daha dan de den dir dı
 WHITE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def repaired(data: bytes) -> str:
+    """Text of bytes at ingest: damage becomes U+FFFD, as Python replaces it."""
+    return data.decode("utf-8", "replace")
+
+
+def repair(data: Column) -> Column:
+    """Text of a binary column, with U+FFFD for damage; stays in the JVM."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition, which Spark has no function for."""
 

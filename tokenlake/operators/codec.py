@@ -128,3 +128,31 @@ def escaped(data: Column, middle_dot: bool = False) -> Column:
 
     chars = F.filter(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: c != "")
     return F.array_join(F.transform(chars, one), "")
+
+
+def shown_tokens(model: Model):  # noqa: ANN201
+    """A function from an id to its token in printable form, ``<UNK>`` where there is none; as ``escaped`` without middle dots."""
+    special = {0x22: '\\"', 0x5C: "\\\\", 0x0A: "\\n", 0x09: "\\t"}
+
+    def show(number: int) -> str:
+        token = model.token(number)
+        return "<UNK>" if token is None else "".join(special.get(b) or (chr(b) if 0x20 <= b <= 0x7E else f"\\x{b:02X}") for b in token)
+
+    return show
+
+
+def encode_stats(n_bytes: int, n_tokens: int) -> str:
+    """The line that tells what encoding did."""
+    return f"{n_bytes} bytes, {n_tokens} tokens, {n_bytes / n_tokens if n_tokens else 0.0:.2f} bytes per token"
+
+
+def decode_stats(n_tokens: int, n_bytes: int) -> str:
+    """The line that tells what decoding did."""
+    return f"{n_tokens} tokens, {n_bytes} bytes"
+
+
+def coverage(texts: DataFrame, decoded: Column, ids: Column, by: list[str] | None = None) -> DataFrame:
+    """Totals of ids and of the bytes that they decode to, and bytes for each token (0.0 without tokens)."""
+    rows = texts.groupBy(*by) if by else texts
+    n = rows.agg(F.coalesce(F.sum(F.size(ids).cast("long")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.octet_length(decoded).cast("long")), F.lit(0)).alias("bytes"))
+    return n.withColumn("bytes_per_token", F.when(F.col("tokens") > 0, F.col("bytes").cast("double") / F.col("tokens")).otherwise(0.0))

@@ -28,7 +28,9 @@ from . import pairs as P
 
 MAX_LOCAL = 2_000_000
 #: Merges between two checkpoints of the distributed trainer.
-CHECKPOINT_EVERY = 4
+CHECKPOINT_EVERY = 8
+#: Best pairs that one job of the distributed trainer brings to the driver.
+MERGES_A_JOB = 64
 
 
 def symbol(number: int) -> str:
@@ -96,29 +98,60 @@ def learn(words: Iterable[tuple[bytes, int]], target: int, model: Model | None =
     return model
 
 
+def independent(ranked: list[tuple[str, int]], most: int) -> list[tuple[str, int]]:
+    """The pairs, from the best on, that would be merged in this order one by one.
+
+    A merge takes from the counts of pairs that share a symbol with it, and makes
+    new pairs, each of at most the count of an old one beside it.  So a pair comes next for
+    sure if it shares no symbol with those before it and is more frequent than any pair
+    that the merges before it could make: as frequent as they are themselves, at most, but
+    only as frequent as a pair that shares a symbol with them.
+    """
+    out, used = [], set()
+    for k, (pair, n) in enumerate(ranked[:MERGES_A_JOB]):
+        if len(out) == most or used & set(pair):
+            break
+        if out and any(used & set(p) and c >= n for p, c in ranked[k + 1 :]):
+            break  # a neighbour of a merged symbol, as frequent as this one
+        if out and n <= ranked[-1][1] and len(ranked) > MERGES_A_JOB:
+            break  # pairs beyond the list may be such neighbours
+        out.append((pair, n))
+        used |= set(pair)
+        if pair[0] == pair[1]:
+            break  # its token may stand beside itself as often as the pair occurred
+    return out
+
+
 def learn_distributed(words: DataFrame, target: int) -> Model:
     """The same rules over a dictionary that stays a DataFrame ``(chunk, n)``."""
     spark = words.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tokenlake-"))
     model = Model()
     state = P.token_strings(words).filter(F.length("s") > 1).checkpoint()
-    code = F.udf(lambda s: [number_of(c) for c in s], "array<int>")
-    step = 0
+    since = 0
     while len(model) < target:
         # strings compare by code point, like the ids, so the smallest pair string has the smallest ids
-        top = P.pair_counts(state).orderBy(F.desc("n"), "pair").limit(1).select("pair", "n", code("pair").alias("ids")).first()
-        if top is None or top["n"] < 2:
+        top = P.pair_counts(state).orderBy(F.desc("n"), "pair").limit(MERGES_A_JOB + 1).collect()
+        if not top or top[0]["n"] < 2:
             break
-        left, right = top["ids"]
-        if len(model.tokens[left]) + len(model.tokens[right]) > MAX_TOKEN_BYTES:
+        done = False
+        for pair, n in independent([(r["pair"], r["n"]) for r in top], target - len(model)):
+            left, right = map(number_of, pair)
+            if n < 2 or len(model.tokens[left]) + len(model.tokens[right]) > MAX_TOKEN_BYTES:
+                done = True
+                break
+            new = model.add_merge(left, right)
+            state = state.select(P.merge_pair(F.col("s"), pair, symbol(new)).alias("s"), "n")
+            since += 1
+        if done:
             break
-        new = model.add_merge(left, right)
-        state = state.select(P.merge_pair(F.col("s"), top["pair"], symbol(new)).alias("s"), "n")
-        step += 1
-        if step % CHECKPOINT_EVERY == 0:
-            state = state.filter(F.length("s") > 1).checkpoint()
+        if since >= CHECKPOINT_EVERY:
+            state, since = state.filter(F.length("s") > 1).checkpoint(), 0
     model.learnt = True
     return model
 

@@ -9,6 +9,10 @@ from ..model import Model
 from ..operators.clean import strip
 
 
+#: Characters of an encyclopedia document at least.
+WIKI_MIN = 50
+
+
 def text_lines(spark: SparkSession, path: str, newline_only: bool = True) -> DataFrame:
     """``(path, line)``: lines cut at newlines only (a carriage return stays), or at any line end."""
     reader = spark.read
@@ -17,6 +21,15 @@ def text_lines(spark: SparkSession, path: str, newline_only: bool = True) -> Dat
     return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
+def text_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, text)``: a file in rows that end in newlines, which no chunk but white space goes across; any number of tasks share a large file.
+
+    Malformed bytes become U+FFFD.
+    """
+    rows = spark.read.format("text").option("lineSep", "\n").load(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.concat(F.make_valid_utf8("value"), F.lit("\n")).alias("text"))
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)``: one row a file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -38,10 +51,22 @@ def web_documents(docs: DataFrame) -> DataFrame:
 
 
 def wiki_lines(rows: DataFrame) -> DataFrame:
-    """``(…, line)`` without document tags and blank lines, of an extracted encyclopedia."""
+    """``(…, line)`` without document tags and blank lines, of an extracted encyclopedia; every length, as what it extracts is filtered by document."""
     return rows.filter(~F.contains("line", F.lit("<doc ")) & ~F.contains("line", F.lit("</doc>")) & (strip(F.col("line")) != ""))
 
 
+def wiki_documents(rows: DataFrame, key: str = "doc_id", least: int = WIKI_MIN) -> DataFrame:
+    """``wiki_lines`` of the documents whose lines have ``least`` characters or more together."""
+    kept = wiki_lines(rows)
+    size = kept.groupBy(F.col(key).alias("__of")).agg(F.sum(F.length("line")).alias("__size")).filter(F.col("__size") >= least)
+    return kept.join(size, F.col(key).eqNullSafe(F.col("__of")), "left_semi")
+
+
+def loader_lines(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """``(key, line_no, line)``: the first ``most`` lines, then stripped, and without blank ones; the limit counts blank lines too."""
+    return rows.orderBy(key, "line_no").limit(most).withColumn("line", strip(F.col("line"))).filter("line <> ''")
+
+
 def read_model(spark: SparkSession, path: str) -> Model:
     """A model in the binary interchange format."""
     return Model.from_bytes(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))

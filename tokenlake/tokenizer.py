@@ -37,7 +37,7 @@ class Tokenizer:
 
     def train_files(self, path: str) -> Tokenizer:
         """Learn from text files as they are: file training does not normalise."""
-        return self.train(files.whole_texts(self.spark, path), normalize=False)
+        return self.train(files.text_rows(self.spark, path), normalize=False)
 
     def save(self, path: str) -> None:
         """Write the interchange format, which holds no configuration."""
