@@ -63,8 +63,10 @@ from .words import _R, _RINV, mix, powers
 MIN_CHARS = 20
 #: White space: a line of nothing else is blank.
 BLANK = np.array([9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-#: Characters of lines that are hashed at once.
-PIECE = 1 << 21
+#: Bytes of lines that are hashed at once; an array of their characters takes 8 times as much, and there are some twenty.
+PIECE = 1 << 18
+#: Characters of lines whose variants are packed at once.
+SPELLED = 1 << 16
 #: At most so many line hashes are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST = 4 << 20
 #: At most so many documents' lines to drop are broadcast.
@@ -280,10 +282,11 @@ def neighbours(rows: DataFrame, first: DataFrame, least: int) -> DataFrame:
     n = packed.partitions(rows.sparkSession, rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in packed.slices(batches, 1, PIECE // 4):
+        for batch in packed.slices(batches, 1, PIECE):
             lines = Lines(batch.column(1).to_pylist(), 0)
-            for lo in range(0, len(lines.hash), 1 << 9):
-                yield from _packed(char_variants(lines, np.arange(lo, min(len(lines.hash), lo + (1 << 9)))), n)
+            so_far = np.cumsum(lines.stop - lines.start)
+            for which in np.split(np.arange(len(so_far)), np.flatnonzero(np.diff(so_far // SPELLED)) + 1):
+                yield from _packed(char_variants(lines, which), n)
 
     def meet(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = _shared(blocks)
