@@ -7,6 +7,7 @@ shuffle moves few large rows and the receiving task works on whole arrays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes of text that are worked on at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are worked on at once; there are some ten arrays of 8 times as much.
+SLICE_BYTES = 1 << 20
 #: Stands for a null doc_id inside packed records.
 NULL_ID = -(1 << 63)
 SCHEMA = "part int, data binary"
@@ -47,6 +48,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             stop = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as Spark keeps a Python worker for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def row_id(doc_id: Column, text: Column) -> tuple[Column, Column]:
