@@ -125,3 +125,20 @@ def test_smallest_doc_id_is_not_null(spark):
     docs = spark.createDataFrame([(-(1 << 63), "x y"), (None, "x y"), (5, "x y")], "doc_id long, text string")
     got = sorted(map(tuple, L.report(docs).collect()), key=str)
     assert got == sorted([(None, 0, -(1 << 63), 0, 0), (5, 0, -(1 << 63), 0, 0)], key=str)
+
+
+def test_choosing_lines_does_not_sort_the_candidates_again():
+    """Each piece of 256 KB looks its lines up among all candidates, which grow with the corpus."""
+    rnd = np.random.default_rng(1)
+    known = np.sort(rnd.integers(0, 1 << 64, 1 << 21, dtype=np.uint64))
+    h = np.concatenate([known[::4096], rnd.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    assert (L.among(h, known) == np.isin(h, known)).all()
+    assert not L.among(h, known[:0]).any()
+    t = time.process_time()
+    for _ in range(200):
+        L.among(h, known)
+    fast = time.process_time() - t
+    t = time.process_time()
+    for _ in range(2):
+        np.isin(h, known)
+    assert fast < 20 * (time.process_time() - t)

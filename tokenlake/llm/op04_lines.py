@@ -236,6 +236,14 @@ def _hashes(lines: DataFrame) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(r[0] for r in lines.mapInArrow(pack, "data binary").collect()), np.uint64))
 
 
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in the sorted ``known``, by bisection: what a piece of text costs hardly grows with ``known``."""
+    at = np.searchsorted(known, h)
+    on = at < len(known)
+    on[on] = known[at[on]] == h[on]
+    return on
+
+
 def _chosen(rows: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """``(line, rest, text)`` of the distinct chosen lines; their hashes are broadcast if they are few enough."""
     few = lines.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
@@ -243,10 +251,9 @@ def _chosen(rows: DataFrame, lines: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, joined, ls in _pieces(batches, least):
-            h, which = np.unique(np.c_[ls.line, ls.rest], axis=0, return_index=True)
-            if shared is not None:
-                on = np.isin(h[:, 0], shared.value)
-                h, which = h[on], which[on]
+            on = np.arange(len(ls.line)) if shared is None else np.flatnonzero(among(ls.line, shared.value))
+            h, which = np.unique(np.c_[ls.line[on], ls.rest[on]], axis=0, return_index=True)
+            which = on[which]
             yield pa.RecordBatch.from_arrays([_signed(h[:, 0].copy()), _signed(h[:, 1].copy()), pa.array([ls.text(joined, i) for i in which.tolist()], pa.string())], ["line", "rest", "text"])
 
     texts = rows.mapInArrow(run, "line long, rest long, text string")
