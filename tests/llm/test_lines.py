@@ -142,3 +142,30 @@ def test_choosing_lines_does_not_sort_the_candidates_again():
     for _ in range(2):
         np.isin(h, known)
     assert fast < 20 * (time.process_time() - t)
+
+
+def test_shuffle_files_of_the_first_round_go_before_the_second(spark, monkeypatch):
+    from pathlib import Path
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    stored = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    candidates, exchange, new, left = L.candidates, L.packed.exchange, set(), []
+
+    def first_round(*a):
+        before = stored()
+        out = candidates(*a)
+        new.update(stored() - before)
+        return out
+
+    def any_round(*a):
+        end = time.time() + 10
+        while new & stored() and time.time() < end:
+            time.sleep(0.2)
+        left.append(len(new & stored()))
+        return exchange(*a)
+
+    monkeypatch.setattr(L, "candidates", first_round)
+    monkeypatch.setattr(L.packed, "exchange", any_round)
+    docs = spark.createDataFrame([(i, f"a line of many characters, number {i}") for i in range(50)], "doc_id long, text string")
+    assert L.report(docs).count() > 0
+    assert new and left == [0, 0]

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from . import packed
-from .common import fresh, stable
+from .common import fresh, release, stable
 from .spans import ragged
 from .words import _R, _RINV, mix, powers
 
@@ -285,7 +285,10 @@ def neighbours(rows: DataFrame, first: DataFrame, least: int) -> DataFrame:
     ``first`` has each line's earliest place ``at``.  Half of a line's hash is
     enough to find candidates: whoever shares it is compared too.
     """
-    known = stable(_chosen(rows, candidates(rows, least), least).join(first, ["line", "rest"]))
+    chosen = candidates(rows, least)
+    release(rows.sparkSession)  # of the block deletions
+    known = stable(_chosen(rows, chosen, least).join(first, ["line", "rest"]))
+    release(rows.sparkSession)
     n = packed.partitions(rows.sparkSession, rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
