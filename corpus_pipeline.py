@@ -5,8 +5,9 @@ written as Parquet to the shared folder and read again as the next one's input;
 what is read no more is deleted, and the last folder goes when the program ends.
 
 Near copies lose the lines that they share to line dedup, which comes first.
-Near-dedup therefore judges a document by the text that ``documents`` has for its
-doc_id, and by its own text where there is none or several.
+Near-dedup therefore judges a document by the text that ``documents`` has for it, and
+by what is left of it too: near copies by either are in one group.  Where a doc_id has
+several texts there, or is null, the text is the one that has all lines left.
 
 Defined results
 * null texts: quality judges them by the prior and their site; line dedup and
@@ -42,7 +43,7 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, as they were before line dedup took shared lines out of the later ones."""
+    """One document of each group of near copies, by what is left and as they were before line dedup took shared lines out of the later ones."""
     return op05_simhash.deduplicated(docs, originals=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
