@@ -72,3 +72,18 @@ def test_pipeline_without_labels_keeps_all_and_drops_near_copies(spark, tmp_path
     assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "4", "5", "7", "None"]
     out = cp.run(spark, str(tmp_path)).toPandas()
     assert set(out["doc_id"].fillna(-1)) == {1, 7, -1}
+
+
+def test_quality_scores_once_and_starts_one_kind_of_worker(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+    from pyspark import RDD
+
+    rows = [(i, "words of a text " * 9 if i % 2 else "SPAM!! " * 9, "en", f"src{i % 3}/a/b", 0, "k") for i in range(40)]
+    folder(spark, str(tmp_path), rows, [(i, i % 2, 0) for i in range(20)], [])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    with monkeypatch.context() as m:
+        m.setattr(RDD, "_to_java_object_rdd", lambda self: 1 / 0)  # rows by way of the RDD API, whose workers are others
+        out = cp._quality(spark, docs, str(tmp_path))
+    # two in a chain are two workers a task, which later stages use and keep both
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in out.collect()} == set(range(1, 40, 2))

@@ -207,8 +207,9 @@ def posterior(docs: DataFrame, model: Model) -> tuple[DataFrame, dict[str, str]]
     """
     c = {k: fresh(k) for k in ("logit", "host", "path", "p", "host_p", "path_p", "final")}
     host, path = site(F.col("source"))
-    score = evidence_of(model, docs)
-    rows = docs.withColumns({c["logit"]: score(F.col("text").cast("string")), c["host"]: host, c["path"]: path}).withColumn(c["p"], 1 / (1 + F.exp(-F.col(c["logit"]))))
+    # never null, and said so: else Spark filters by it below the join, which scores all texts once more at the same time
+    score = F.coalesce(evidence_of(model, docs)(F.col("text").cast("string")), F.lit(0.0))
+    rows = docs.withColumns({c["logit"]: score, c["host"]: host, c["path"]: path}).withColumn(c["p"], 1 / (1 + F.exp(-F.col(c["logit"]))))
     paths = rows.groupBy(F.col(c["host"]).alias("h"), F.col(c["path"]).alias("r")).agg(F.sum(c["p"]).alias("sum"), F.count("*").alias("n"), F.sum(F.col(c["p"]) * F.col(c["p"])).alias("squares"))
     paths = stable(paths)
     hosts = paths.groupBy("h").agg(F.sum("sum").alias("h_sum"), F.sum("n").alias("h_n"), F.sum("squares").alias("squares"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ MAX_ROWS = 4000
 MAX_BYTES = 32 << 20
 #: Labels of at most so many documents are broadcast (16 bytes each); more are joined by a shuffle of doc_ids.
 MAX_BROADCAST = 1 << 20
+#: Arrow types of doc_id, hash and label.
+TYPES = (pa.int64(), pa.int64(), pa.int32())
 
 
 def usable(labels: DataFrame, label: str) -> DataFrame:
@@ -50,7 +53,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         if r["size"] <= left:
             fit.append((r["doc_id"], r["h"], r["y"]))
             left -= r["size"]
-    chosen = docs.sparkSession.createDataFrame(fit, "doc_id long, h long, y int")
+    # by Arrow, as rows would start Python workers of another kind, which stay beside the others
+    chosen = docs.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*fit) if fit else [()] * 3, TYPES)], ["doc_id", "h", "y"]))
     once = Window.partitionBy("doc_id", "h").orderBy("h")
     found = rows.join(F.broadcast(chosen), ["doc_id", "h"]).withColumn("k", F.row_number().over(once)).filter("k = 1")
     return sorted((r["doc_id"], r["text"], r["y"]) for r in found.select("doc_id", "text", "y").collect())
