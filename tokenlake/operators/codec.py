@@ -13,59 +13,105 @@ from __future__ import annotations
 
 import importlib.util
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import binary as B
 from ..functions import text as T
 from ..model import Model
 from .train import symbol
 
-#: Chunks that a worker remembers.
-CACHE = 1 << 20
+#: Chunks that a worker remembers, and the longest of them.
+CACHE = 1 << 17
+LONGEST = 64
+#: Characters of a text that the compiled encoder gets at once.
+PIECE = 1 << 20
+#: No chunk goes across the place between a letter and a space.
+_CUT = re.compile(r"(?<=[A-Za-z]) ")
 
 
-def encode_udf(model: Model, docs: DataFrame, pretokenize: bool = True, raw: bool = False):  # noqa: ANN201
-    """A column function from text (binary where ``raw``) to an array of ids; null stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _compiled(model: Model) -> Callable[[str], Iterator[list[int]]]:
+    """Ids of a text by the compiled encoder, list by list."""
+    import tiktoken
 
-    compiled = pretokenize and not raw and importlib.util.find_spec("tiktoken") is not None and model.is_fresh() and model.learnt
+    encode = tiktoken.Encoding("model", pat_str=T.PRETOKEN, mergeable_ranks={t: i for i, t in enumerate(model.tokens)}, special_tokens={}).encode_ordinary
 
-    def fast(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
+    def run(text: str) -> Iterator[list[int]]:
+        at = 0
+        while len(text) - at > PIECE and (m := _CUT.search(text, at + PIECE)):
+            yield encode(text[at : m.start()])
+            at = m.start()
+        yield encode(text[at:] if at else text)
 
-        encoder = tiktoken.Encoding("model", pat_str=T.PRETOKEN, mergeable_ranks={t: i for i, t in enumerate(shared.value.tokens)}, special_tokens={})
-        for t in parts:
-            yield t.map(lambda x: None if x is None else encoder.encode_ordinary(x))
+    return run
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, cache = shared.value, {}
-        find = re.compile(python_pattern()).findall
 
-        def ids(chunk):  # noqa: ANN001, ANN202
+def _cached(model: Model) -> Callable[[Iterable[str | bytes]], Iterator[list[int]]]:
+    """Ids of chunks, those of short ones remembered."""
+    cache: dict[str | bytes, list[int]] = {}
+
+    def run(chunks: Iterable[str | bytes]) -> Iterator[list[int]]:
+        for chunk in chunks:
             out = cache.get(chunk)
             if out is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                out = cache[chunk] = m.encode_chunk(chunk.encode() if isinstance(chunk, str) else chunk)
-            return out
-
-        def encode(x):  # noqa: ANN001, ANN202
-            if x is None:
-                return None
-            x = bytes(x) if raw else x
-            pieces = (B.split(x) if raw else find(x)) if pretokenize else [x]
-            return [i for c in pieces for i in ids(c)]
-
-        for t in parts:
-            yield t.map(encode)
-
-    f = fast if compiled else run
-    f.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(f, "array<int>")
+                out = model.encode_chunk(chunk.encode() if isinstance(chunk, str) else chunk)
+                if len(chunk) <= LONGEST:
+                    if len(cache) >= CACHE:
+                        cache.clear()
+                    cache[chunk] = out
+            yield out
+
+    return run
+
+
+def encode_udf(model: Model, docs: DataFrame, pretokenize: bool = True, raw: bool = False):  # noqa: ANN201
+    """A column function from text (binary where ``raw``) to an array of ids; null stays null.
+
+    Texts come in pieces of bounded size (see ``arrays``) and their ids leave as
+    packed numbers, so that a worker never holds the ids of a whole batch.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fast = pretokenize and importlib.util.find_spec("tiktoken") is not None and model.is_fresh() and model.learnt
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        m = shared.value
+        if not m.merges:
+            return _bytes
+        compiled, cached = _compiled(m) if fast else None, _cached(m)
+        find = re.compile(python_pattern()).findall
+
+        def ids(x: str | bytes) -> Iterator[list[int]]:
+            if fast:
+                try:
+                    return compiled(x.decode() if raw else x)
+                except UnicodeDecodeError:
+                    pass
+            return cached((B.split(x) if raw else find(x)) if pretokenize else [x])
+
+        def work(texts: pa.Array) -> pa.Array:
+            out, bounds = array("i"), np.zeros(len(texts) + 1, np.int64)
+            for k, x in enumerate(texts):
+                if x.is_valid:
+                    for part in ids(x.as_py()):
+                        out.extend(part)
+                bounds[k + 1] = len(out)
+            return A.lists(pa.array(np.frombuffer(out, np.int32)), bounds, A.nulls(texts))
+
+        return work
+
+    return A.function(make, "array<int>")
+
+
+def _bytes(texts: pa.Array) -> pa.Array:
+    """Ids by a model without rules: the bytes."""
+    data, bounds = A.raw(texts)
+    return A.lists(pa.array(data.astype(np.int32)), bounds, A.nulls(texts))
 
 
 def python_pattern() -> str:
