@@ -1,16 +1,23 @@
 """Corpus cleaning: lines are cleaned, filtered by length and language, and deduplicated.
 
-A line is judged by the first rule that it fails, kept as its ``status``.
+A line is judged by the first rule that it fails, kept as its ``status``.  Cleaning and
+the language score are Arrow functions, as characters by class and distinct words of a
+line cost less by table and by set than by expressions over each line.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
+
 MIN_CHARS, MAX_CHARS = 20, 10_000
 THRESHOLD = 0.3
 SPECIFIC = "çÇğĞıİöÖşŞüÜ"
@@ -30,31 +37,76 @@ def repair(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 
 
-def nfc(text: Column) -> Column:
-    """Canonical composition, which Spark has no function for."""
+def strip(text: Column) -> Column:
+    """Without white space at either end, as Python strips."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
-    run.__annotations__ = {"t": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(text)
+_BLANKS = re.compile("[ \t]+")
 
 
-def strip(text: Column) -> Column:
-    """Without white space at either end, as Python strips."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+def cleaned(line: str) -> str:
+    """A cleaned line: no invisible characters, single blanks, stripped, composed."""
+    if not line.isprintable():
+        line = _BLANKS.sub(" ", "".join([c for c in line if c in "\t\n" or unicodedata.category(c)[0] != "C"]))
+    elif "  " in line:
+        line = _BLANKS.sub(" ", line)
+    line = line.strip()
+    return line if line.isascii() else unicodedata.normalize("NFC", line)
+
+
+@lru_cache
+def _classes() -> np.ndarray:
+    """Of each code point: 1 for a letter, 2 for one of the alphabet, 4 for a Turkish one, added up."""
+    out = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
+    out[[ord(c) for c in ALPHABET]] |= 2
+    out[[ord(c) for c in SPECIFIC]] |= 4
+    return out
+
+
+_STOP = frozenset(STOPWORDS)
+
 
+def scores(texts: list[str]) -> np.ndarray:
+    """How much each line looks Turkish: own letters 0.4, share of alphabet 0.3, stop words up to 0.3."""
+    kinds = _classes()[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    ends = np.cumsum([0, *map(len, texts)])
+    letters, known, own = (np.diff(np.r_[0, np.cumsum(kinds & bit > 0)][ends]) for bit in (1, 2, 4))
+    words = [set(t.lower().split()) for t in texts]
+    size, hits = (np.fromiter(x, np.int64, len(texts)) for x in (map(len, words), (len(w & _STOP) for w in words)))
+    score = np.where(own > 0, 0.4, 0.0) + np.where(letters > 0, known / np.maximum(letters, 1), 0.0) * 0.3 + np.minimum(hits / np.maximum(size, 1) * 2.0, 0.3)
+    return np.where(size == 0, 0.0, score)
 
-def tidy(line: Column) -> Column:
-    """All of the cleaning but for composition."""
-    line = F.regexp_replace(line, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", "")
-    line = F.regexp_replace(line, r"[\p{C}&&[^\t\n]]", "")
-    return strip(F.regexp_replace(line, "[ \t]+", " "))
+
+def _clean(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else cleaned(x) for x in column.to_pylist()], pa.string())
+
+
+def _score(column: pa.Array) -> pa.Array:
+    texts = column.to_pylist()
+    out = scores([t or "" for t in texts])
+    return pa.array([0.3 if t is None else s for t, s in zip(texts, out.tolist())] if column.null_count else out, pa.float64())
+
+
+def _clean_and_score(column: pa.Array) -> pa.Array:
+    texts = _clean(column)
+    return pa.StructArray.from_arrays([texts, _score(texts)], ["clean", "score"])
 
 
 def clean(line: Column) -> Column:
     """A cleaned line."""
-    return nfc(tidy(line))
+    return A.function(lambda: _clean, "string")(line)
+
+
+def _once(work, kind: str, line: Column) -> Column:  # noqa: ANN001
+    """The function of a line, which a filter on its result doesn't call a second time: Spark moves no filter past what may vary."""
+    return A.function(lambda: work, kind).asNondeterministic()(line)
+
+
+def scored(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, line_no, clean, score)`` of ``(key, line_no, line)``, in one pass."""
+    both = _once(_clean_and_score, "clean string, score double", F.col("line"))
+    return rows.select(key, "line_no", both.alias("both")).select(key, "line_no", "both.clean", "both.score")
 
 
 def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -63,15 +115,8 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def language_score(line: Column) -> Column:
-    """How much a line looks Turkish: own letters 0.4, share of alphabet 0.3, stop words up to 0.3."""
-    letters = F.length(F.regexp_replace(line, r"\P{L}", ""))
-    known = F.length(F.regexp_replace(line, f"[^{ALPHABET}]", ""))
-    words = F.array_distinct(F.filter(F.split(F.lower(line), f"{WHITE}+"), lambda w: w != ""))
-    hits = F.size(F.array_intersect(words, F.array(*map(F.lit, STOPWORDS))))
-    score = F.when(line.rlike(f"[{SPECIFIC}]"), F.lit(0.4)).otherwise(F.lit(0.0))
-    score = score + F.when(letters > 0, known.cast("double") / letters).otherwise(F.lit(0.0)) * F.lit(0.3)
-    score = score + F.least(hits.cast("double") / F.greatest(F.size(words), F.lit(1)) * F.lit(2.0), F.lit(0.3))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(score)
+    """How much a line looks Turkish; see ``scores``."""
+    return A.function(lambda: _score, "double")(line)
 
 
 def is_turkish(line: Column, threshold: float = THRESHOLD) -> Column:
@@ -82,11 +127,11 @@ def judged(rows: DataFrame, key: str = "doc_id", sample: int | None = None, leas
     """``(key, line_no, clean, status)`` of every line; ``sample`` takes the first lines only, before all else."""
     if sample is not None:
         rows = rows.orderBy(key, "line_no").limit(sample)
-    rows = rows.select(key, "line_no", clean(F.col("line")).alias("clean"))
+    rows = scored(rows, key) if turkish else rows.select(key, "line_no", _once(_clean, "string", F.col("line")).alias("clean"))
     status = F.when(F.length("clean") < least, "too_short").when(F.length("clean") > most, "too_long")
     if turkish:
-        status = status.when(~is_turkish(F.col("clean")), "not_turkish")
-    rows = rows.withColumn("status", status.otherwise("kept"))
+        status = status.when(~(F.col("score") >= F.lit(THRESHOLD)), "not_turkish")
+    rows = rows.select(key, "line_no", "clean", status.otherwise("kept").alias("status"))
     if not dedup:
         return rows
     # lines that are out already do not meet in one partition for their hash
@@ -96,9 +141,13 @@ def judged(rows: DataFrame, key: str = "doc_id", sample: int | None = None, leas
     return rows.withColumn("status", F.when((F.col("status") == "kept") & (F.col("k") > 1), "duplicate").otherwise(F.col("status"))).drop("alive", "k")
 
 
-def kept(rows: DataFrame, key: str = "doc_id", **options: object) -> DataFrame:
-    """The lines that pass: ``(key, line_no, clean)``."""
-    return judged(rows, key, **options).filter("status = 'kept'").drop("status")
+def kept(rows: DataFrame, key: str = "doc_id", dedup: bool = True, **options: object) -> DataFrame:
+    """The lines that pass: ``(key, line_no, clean)``; only those that pass the other rules are shuffled for duplicates."""
+    rows = judged(rows, key, dedup=False, **options).filter("status = 'kept'").drop("status")
+    if not dedup:
+        return rows
+    first = Window.partitionBy("alive").orderBy(key, "line_no")
+    return rows.withColumn("alive", F.md5("clean")).withColumn("k", F.row_number().over(first)).filter("k = 1").drop("alive", "k")
 
 
 def summary(rows: DataFrame) -> DataFrame:

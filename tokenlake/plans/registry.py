@@ -366,8 +366,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("language_score", f"WITH {_SCORED} SELECT doc_id, line_no, round(score, 6) AS score, score >= 0.3::DOUBLE AS turkish FROM scored")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d).select("doc_id", "line_no", clean.clean(F.col("line")).alias("clean"))
-    return rows.select("doc_id", "line_no", F.round(clean.language_score(F.col("clean")), 6).alias("score"), clean.is_turkish(F.col("clean")).alias("turkish"))
+    rows = clean.scored(_lines(spark, d))
+    return rows.select("doc_id", "line_no", F.round("score", 6).alias("score"), (F.col("score") >= F.lit(clean.THRESHOLD)).alias("turkish"))
 
 
 @query("preprocess_status", f"WITH {_SCORED} SELECT * FROM judged")
