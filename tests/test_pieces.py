@@ -58,3 +58,11 @@ def test_malformed_bytes_by_arrays():
         assert B.chunks(column).to_pylist() == [None if x is None else B.split(x) for x in data]
         assert B._lengths(column).to_pylist() == [None if x is None else B.length(x) for x in data]
     assert [len(p) for p in A.pieces(pa.array(["abc", None, "d" * 9, "e"]), 4)] == [2, 1, 1]
+
+
+def test_native_rules_run_once_a_text(spark):
+    rows = spark.createDataFrame([(1, "the then  the,the\n1the é"), (2, ""), (3, None), (4, "t h the")], "doc_id long, text string")
+    native = codec.encode_native(rows, registry.fixed_model())
+    assert {tuple(r) if r[1] is None else (r[0], tuple(r[1])) for r in native.collect()} == {tuple(r) if r[1] is None else (r[0], tuple(r[1])) for r in codec.encode(rows, registry.fixed_model()).collect()}
+    plan = native._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan  # each chunk by itself

@@ -144,11 +144,17 @@ def ids_of(s: Column) -> Column:
 
 
 def encode_native(docs: DataFrame, model: Model, key: str = "doc_id", flags: T.Norm | None = None) -> DataFrame:
-    """``encode`` without Python, for models of up to about a thousand rules."""
+    """``encode`` without Python, for models of up to about a thousand rules.
+
+    The chunks of a text stand in one token string, each two with a character between
+    them that is no token, so that a rule is applied once a text and not once a chunk.
+    """
     text = T.normalize(F.col("text"), model.config.norm if flags is None else flags)
     chunks = T.pretokens(text) if model.config.pretokenize else F.array(text)
-    with_rules = docs.select(key, chunks.alias("chunks")).crossJoin(F.broadcast(rules_row(docs, model)))
-    return with_rules.select(key, F.flatten(F.transform("chunks", lambda c: ids_of(fold(T.byte_string(c), F.col("rules"))))).alias("ids"))
+    between = symbol(len(model))
+    whole = F.array_join(F.transform(chunks, T.byte_string), between)
+    with_rules = docs.select(key, whole.alias("whole")).crossJoin(F.broadcast(rules_row(docs, model)))
+    return with_rules.select(key, ids_of(F.replace(fold(F.col("whole"), F.col("rules")), F.lit(between), F.lit(""))).alias("ids"))
 
 
 def decode(encoded: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
